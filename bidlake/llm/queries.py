@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidlake.llm import dedup, shards, simhash, warc
+from bidlake.llm import dedup, mixing, packing, quality_cnn, quality_rules, shards, simhash, tokencount, toxicity, warc
+from bidlake.llm.labelled import id_remainder
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +37,51 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op4_sampled_splitters, op9_exact_dedup, op10_simhash_groups)}
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), with_ids=False)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_rules.apply_rules(docs, *quality_rules.train(docs, _labels(spark, sf_dir)))
+
+
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = quality_cnn.score_quality(docs, quality_cnn.train(docs, _labels(spark, sf_dir)))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).drop("text_key")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_capture_index, op2_toxicity_kneser_ney, op3_best_fit_packing, op4_sampled_splitters, op5_token_counts,
+        op6_quality_rules, op7_quality_cnn, op8_mixture, op9_exact_dedup, op10_simhash_groups, pipeline,
+    )
+}
 ORACLES = {"op9_exact_dedup": OP9_SQL}
