@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import new_path
-from bidlake.llm.warc import archive_round_trip, capture_key, lookup, mark_revisits, read_index, write_archives
+from bidlake.llm.warc import archive_round_trip, capture_key, lookup, read_index, write_archives
 
 SCHEMA = "page_id long, url string, html string, payload string"
 ROWS = [
     (1, "https://b.example.com/a", "<p>é</p>", "x"), (2, "http://user@a.example.com:80/x y?q#f", "<p>é</p>", None), (3, None, None, None), (4, "", "", None),
     (5, "not a url\nat all", "<b>" * 50_000, None), (6, "https://b.example.com/a", "new", None), (None, "https://n.org/", "<p>é</p>", None), (None, None, "only", None),
-    (7, "https://b.example.com/a", "<p>é</p>", None), (8, "u", "rep", None), (8, "u", "rep", None), (9, "u", "rep", None),
+    (7, "https://b.example.com/a", "<p>é</p>", None), (8, "u", "rep", None), (8, "u", "rep", None), (9, "u", "rep", None), (10, "v", "one", None), (10, "v", "rep", None),
 ]
 
 
@@ -37,7 +37,7 @@ def test_round_trip(spark):
 def test_archives_are_plain_warc_members_and_the_index_is_sorted(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 7, F.lit(".org/"), F.col("id") % 50).alias("url"), F.concat(F.lit("p"), F.col("id") % 200).alias("html"))
-    directory = write_archives(mark_revisits(pages), path, block_records=16, parts=4)
+    directory = write_archives(pages, path, block_records=16, parts=4)
     lines = read_index(spark, directory, path).toPandas()
     blocks = directory.toPandas()
     assert len(lines) == 300 and blocks["records"].max() == 16
@@ -58,7 +58,7 @@ def test_archives_are_plain_warc_members_and_the_index_is_sorted(spark, tmp_path
 def test_lookup_of_single_and_missing_keys(spark):
     path = new_path(spark, "warc")
     pages = spark.createDataFrame(ROWS, SCHEMA)
-    directory = write_archives(mark_revisits(pages), path, block_records=2, parts=3)
+    directory = write_archives(pages, path, block_records=2, parts=3)
     want = pages.where("page_id in (2, 8)").select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
     keys = want.union(spark.createDataFrame([("com,example,zzz)/ 1",), ("",), ("~~~~",)], "key string"))
     assert sorted(r.page_id for r in lookup(directory, path, keys).collect()) == [2, 8, 8]
