@@ -34,7 +34,8 @@ def rake(cells: pd.DataFrame, targets: Targets, tolerance: float = 1e-9, max_rou
         values = [None if pd.isna(v) else v for v in cells[dim].astype(object)]
         names = sorted(set(values), key=str)
         code = np.array([names.index(v) for v in values]) if len(names) < 50 else pd.Categorical([str(v) for v in values], [str(n) for n in names]).codes
-        share = share * np.array([v in wanted for v in values], bool)
+            place = {n: i for i, n in enumerate(names)}
+            code = np.array([place[v] for v in values], np.int64)
         goal = np.array([wanted.get(n, 0.0) for n in names], float)
         groups.append((code, goal))
     for _ in range(max_rounds):
