@@ -28,6 +28,8 @@ def rake(cells: pd.DataFrame, targets: Targets, tolerance: float = 1e-9, max_rou
     marginal is off by more than ``tolerance``. Targets of values without tokens are given to the
     others in proportion; cells of values without a target get nothing.
     """
+    if cells.empty:
+        return np.zeros(0)
     share = cells["tokens"].to_numpy(float) / max(cells["tokens"].sum(), 1)
     groups = []
     for dim, wanted in targets.items():
