@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACES, " ")
     rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), norm.alias("norm")).select(
-        "*", digest(F.col("norm")).alias("key"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
+        "*", sha256(F.col("norm")).alias("sha"), digest(F.col("norm")).alias("key"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
     )
     by_salt = rows.groupBy("key", "norm", "salt").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     by_text = (
@@ -59,5 +59,5 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"),
-        sha256(F.col("norm")).alias("text_sha256"),
+        F.col("sha").alias("text_sha256"),
     )
