@@ -31,22 +31,25 @@ def capture_key(url: Column, page_id: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), path, F.lit(" "), F.coalesce(page_id.cast("string"), F.lit("-")))
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0, salts: int = 32) -> DataFrame:
-    """page_id, url, payload and refers_to: null for a response, else the page whose equal payload it repeats.
+def _same(payload: Column) -> Column:
+    """Equal exactly for equal payloads: length, SHA-1 and SHA-256."""
+    return F.concat_ws(" ", F.octet_length(payload), F.sha1(payload), F.sha2(payload, 256))
 
-    Payloads are grouped by length, SHA-1 and SHA-256 together. Only (payload, salt) groups are merged
-    across the cluster, so a payload shared by a third of all pages is dealt over ``salts`` tasks.
+
+def revisits(pages: DataFrame, min_bytes: int = 0, salts: int = 32) -> DataFrame:
+    """key, same and refers_to of the pages that repeat another page's payload: the one of the smallest page_id.
+
+    Payloads are known by length, SHA-1 and SHA-256 together and do not move. Only (payload, salt) groups
+    are merged across the cluster, so a payload shared by a third of all pages is dealt over ``salts`` tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    same = F.concat_ws(" ", F.octet_length("payload"), F.sha1("payload"), F.sha2("payload", 256))
-    rows = pages.select("page_id", "url", payload.alias("payload")).select(
-        "*", same.alias("same"), F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"), (F.octet_length("payload") >= min_bytes).alias("shared")
+    rows = pages.where(F.octet_length(payload) >= min_bytes).select(
+        "page_id", capture_key(F.col("url"), F.col("page_id")).alias("key"), _same(payload).alias("same"), F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt")
     )
-    by_salt = rows.where("shared").groupBy("same", "salt").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    by_salt = rows.groupBy("same", "salt").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = by_salt.groupBy("same").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).where("n > 1")
-    firsts = groups.select("same", "first", F.explode("salts").alias("salt"), F.lit(True).alias("shared"))
-    joined = rows.join(firsts, ["same", "salt", "shared"], "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    joined = rows.join(groups.select("same", "first", F.explode("salts").alias("salt")), ["same", "salt"])
+    return joined.where("not (page_id <=> first)").select("key", "same", F.col("first").alias("refers_to"))
 
 
 def _record(key: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -84,14 +87,15 @@ def _parse(record: bytes) -> dict:
     return {**capture, "record_type": fields["WARC-Type"], "payload_bytes": long, "payload_digest": digest, "payload": None if revisit else payload}
 
 
-def write_archives(pages: DataFrame, path: str, block_records: int = 256, parts: int | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, path: str, block_records: int = 256, parts: int | None = None, date: str = "1970-01-01T00:00:00Z", min_bytes: int = 0) -> DataFrame:
     """Writes one archive and one index file per key range under ``path``; returns the sparse block directory.
 
-    ``pages`` comes from :func:`mark_revisits`. Records are gzip members in key order; every
-    ``block_records`` of them have their index lines (key, offset, length) compressed into one block of
-    the index file, and the directory has a row per block with its first and last key and where both
-    the block and its records lie. Files carry the task attempt in their names and only the attempts
-    that Spark accepted are named in the directory, so a repeated task does no harm.
+    The only rows that carry a payload move once, dealt by key range; what :func:`revisits` found comes
+    with them, one small row per revisit that sorts before its page. Records are gzip members in key
+    order; every ``block_records`` of them have their index lines (key, offset, length) compressed into
+    one block of the index file, and the directory has a row per block with its first and last key and
+    where both the block and its records lie. Files carry the task attempt in their names and only the
+    attempts that Spark accepted are named in the directory, so a repeated task does no harm.
     """
     spark = pages.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -105,7 +109,7 @@ def write_archives(pages: DataFrame, path: str, block_records: int = 256, parts:
         store.create_dir(folder, recursive=True)
         names = {"warc_file": f"{tag}.warc.gz", "index_file": f"{tag}.cdx.z"}
         with store.open_output_stream(f"{folder}/{names['warc_file']}", compression=None) as warc, store.open_output_stream(f"{folder}/{names['index_file']}", compression=None) as index:
-            lines, blocks, at = [], [], 0
+            lines, blocks, at, told, told_key = [], [], 0, {}, None
 
             def close_block() -> None:
                 packed = zlib.compress("\n".join(f"{k} {o} {n}" for k, o, n in lines).encode(), 6)
@@ -116,8 +120,15 @@ def write_archives(pages: DataFrame, path: str, block_records: int = 256, parts:
                 lines.clear()
 
             for batch in batches:
-                for key, page, url, payload, refers in batch[["key", "page_id", "url", "payload", "refers_to"]].astype(object).itertuples(index=False):
-                    record = _record(key, None if pd.isna(page) else int(page), url, bytes(payload), None if pd.isna(refers) else int(refers), date)
+                for key, page, url, html, same, refers in batch[["key", "page_id", "url", "html", "same", "refers_to"]].astype(object).itertuples(index=False):
+                    if key != told_key:
+                        told, told_key = {}, key
+                    if same is not None:
+                        told[same] = int(refers) if pd.notna(refers) else None
+                        continue
+                    payload = (html or "").encode("utf-8", "surrogatepass")
+                    known = f"{len(payload)} {hashlib.sha1(payload).hexdigest()} {hashlib.sha256(payload).hexdigest()}" if told else None
+                    record = _record(key, None if pd.isna(page) else int(page), url, payload, told.get(known), date)
                     warc.write(record)
                     lines.append((key, at, len(record)))
                     at += len(record)
@@ -128,8 +139,10 @@ def write_archives(pages: DataFrame, path: str, block_records: int = 256, parts:
         if blocks:
             yield pd.DataFrame(blocks)
 
-    keyed = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "*")
-    return saved(keyed.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInPandas(write, _BLOCK), "warc_directory")
+    captured = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "page_id", "url", "html", F.lit(None).cast("string").alias("same"), F.lit(None).cast("long").alias("refers_to"))
+    marks = revisits(pages, min_bytes).distinct().select("key", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "same", "refers_to")
+    rows = captured.unionByName(marks).repartitionByRange(parts, "key").sortWithinPartitions("key", F.col("same").desc_nulls_last())
+    return saved(rows.mapInPandas(write, _BLOCK), "warc_directory")
 
 
 def lookup(directory: DataFrame, path: str, keys: DataFrame) -> DataFrame:
@@ -177,6 +190,8 @@ def lookup(directory: DataFrame, path: str, keys: DataFrame) -> DataFrame:
         return pd.DataFrame(found, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
     dealt = keys.distinct().select("key", F.explode(archives("key")).alias("part"))
+    # A given number of partitions, as the few bytes of a key stand for a whole record to read.
+    dealt, directory = (x.repartition(max(1, len(ids)), "part") for x in (dealt, directory))
     return dealt.groupBy("part").cogroup(directory.groupBy("part")).applyInPandas(search, _CAPTURE)
 
 
@@ -206,8 +221,8 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, **options) ->
     never names a group unless it has no other member. No pages give no rows. Other columns are not read.
     """
     path = path or new_path(pages.sparkSession, "warc")
-    directory = write_archives(mark_revisits(pages), path, **options)
+    directory = write_archives(pages, path, **options)
     return lookup(directory, path, pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))).drop("key")
 
 
-__all__ = ["archive_round_trip", "capture_key", "lookup", "mark_revisits", "read_index", "write_archives"]
+__all__ = ["archive_round_trip", "capture_key", "lookup", "read_index", "revisits", "write_archives"]
