@@ -22,22 +22,41 @@ class Encoder:
     """Byte-level BPE ids of whole texts, equal to ``Tokenizer.encode``.
 
     A space always starts a new pre-token unless it stands between white space, so a text is cut
-    before its spaces and each distinct piece is encoded once while it is remembered. ``memory``
-    bounds the remembered pieces; when it is full they are forgotten. Texts that cannot be cut safely
-    are encoded whole.
+    before its spaces. Pieces are remembered, and so are the pre-tokens that new pieces consist of;
+    only pre-tokens not met before reach the library. ``memory`` bounds the remembered pre-tokens and
+    half of it the pieces; when one is full it is forgotten. Texts that cannot be cut safely are
+    encoded whole.
     """
 
-    def __init__(self, path: str, memory: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, memory: int = 700_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memory, self.longest, self.known = memory, longest, {}
+        self.memory, self.longest, self.known, self.tokens = memory, longest, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow a space."""
+        parts = [self.split(" " + p) for p in pieces]
+        missing = list(set().union(*parts).difference(self.tokens))
+        if len(self.tokens) + len(missing) > self.memory:
+            self.tokens.clear()
+            missing = list(set().union(*parts))
+        self.tokens.update(zip(missing, self._encode(missing), strict=True))
+        ids = self.tokens.__getitem__
+        out = {p: b"".join(map(ids, part)) for p, part in zip(pieces, parts, strict=True)}
+        for t in missing:
+            if len(t) > self.longest:
+                del self.tokens[t]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text; null is empty."""
         texts = [t or "" for t in texts]
@@ -50,10 +69,10 @@ class Encoder:
         pieces = {i: texts[i].split(" ") for i in cut}
         wanted = set().union(*pieces.values()) if pieces else set()
         fresh = list(wanted.difference(self.known))
-        if len(self.known) + len(fresh) > self.memory:
+        if len(self.known) + len(fresh) > self.memory // 2:
             self.known.clear()
             fresh = list(wanted)
-        new = dict(zip(fresh, self._encode([" " + p for p in fresh]), strict=True))
+        new = self._new_pieces(fresh)
         self.known.update(new)
         begin = self._encode([pieces[i][0] for i in cut])
         ids = self.known.__getitem__
