@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from bidlake.plans import q_feed, q_match
+
+MODULES = (q_match, q_feed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
