@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlake.plans import q_feed, q_match, q_runs, q_terms
+from bidlake.plans import q_feed, q_match, q_runs, q_sources, q_terms
 
-MODULES = (q_match, q_feed, q_terms, q_runs)
+MODULES = (q_match, q_feed, q_terms, q_runs, q_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
