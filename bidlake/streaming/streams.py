@@ -22,7 +22,7 @@ class Accumulator(StatefulProcessor):
         self.handle = handle
         self.record = handle.getValueState("record", "seq long, title string, note string, end_us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq")
         old = self.record.get() if self.record.exists() else None
         is_new = old is None
@@ -36,7 +36,7 @@ class Accumulator(StatefulProcessor):
             self.handle.registerTimer(old[3] // 1000)
         yield self._row(key, old, "new" if is_new else "updated")
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.record.exists():
             old = self.record.get()
             self.record.clear()
@@ -61,7 +61,7 @@ class LeadVersions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.version = handle.getValueState("version", "content_hash string, updated_at long, level int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         for r in pd.concat(list(rows)).sort_values("run").itertuples():
             old = self.version.get() if self.version.exists() else None
