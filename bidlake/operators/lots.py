@@ -104,16 +104,22 @@ def placement(best: DataFrame, totals: DataFrame) -> DataFrame:
 def pick_product(related: DataFrame, products: DataFrame, wanted: DataFrame) -> DataFrame:
     """A product for each position: the first exact one, else the best of group relation plus name overlap.
 
-    products and wanted have ``tokens`` of their names. Candidates come from the code relation and from
-    shared tokens only, so positions never meet the whole catalog.
+    products and wanted have ``tokens`` of their names. Candidates are the products of the code relation
+    and, for each distinct set of tokens, the one product that overlaps it most (the first on ties).
     """
     on = ["purchase_id", "pos"]
-    a = wanted.select(*on, F.size("tokens").alias("a"), F.explode("tokens").alias("t"))
+    sets = wanted.select("tokens").distinct()
+    a = sets.select("tokens", F.explode("tokens").alias("t"))
     b = products.select("product_id", F.size("tokens").alias("b"), F.explode("tokens").alias("t"))
-    shared = a.join(b, "t").groupBy(*on, "product_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    by_name = shared.select(*on, "product_id", F.lit(0).alias("rank"), (F.col("n").cast("double") / F.least("a", "b")).alias("overlap"))
-    both = related.select(*on, "product_id", "rank", F.lit(0.0).alias("overlap")).union(by_name)
-    rows = both.groupBy(*on, "product_id").agg(F.max("rank").alias("rank"), F.max("overlap").alias("overlap"))
+    shared = a.join(b, "t").groupBy("tokens", "product_id", "b").agg(F.count(F.lit(1)).alias("n"))
+    overlap = F.col("n").cast("double") / F.least(F.size("tokens"), "b")
+    first = shared.groupBy("tokens").agg(F.max(F.struct(overlap.alias("overlap"), (-F.col("product_id")).alias("least"))).alias("best"))
+    by_name = wanted.join(first, "tokens").select(*on, (-F.col("best.least")).alias("product_id"), F.lit(0).alias("rank"), F.col("best.overlap").alias("overlap"))
+    own = products.select("product_id", F.col("tokens").alias("own"))
+    common = F.size(F.array_intersect("own", "tokens")).cast("double")
+    near = related.join(wanted.select(*on, "tokens"), on).join(own, "product_id")
+    by_code = near.select(*on, "product_id", "rank", F.coalesce(F.try_divide(common, F.least(F.size("own"), F.size("tokens")).cast("double")), F.lit(0.0)).alias("overlap"))
+    rows = by_code.union(by_name).groupBy(*on, "product_id").agg(F.max("rank").alias("rank"), F.max("overlap").alias("overlap"))
     exact = F.col("rank") == 2
     worth = F.when(exact, 0.0).otherwise(F.least("rank", F.lit(1)) + F.col("overlap"))
     best = Window.partitionBy(*on).orderBy(F.desc(exact), F.desc(worth), "product_id")

@@ -132,8 +132,7 @@ def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of the lines of every 16th purchase."""
-    return positions(spark, sf_dir).where("purchase_id % 16 = 0").select("purchase_id", "pos", "product_id", _code(F.col("l_quantity").cast("int"), F.col("product_id") + F.col("l_linenumber")).alias("code"))
+    return positions(spark, sf_dir).select("purchase_id", "pos", "product_id", _code(F.col("l_quantity").cast("int"), F.col("product_id") + F.col("l_linenumber")).alias("code"))
 
 
 def _code_sql(size: str, key: str) -> str:
@@ -144,19 +143,19 @@ def _code_sql(size: str, key: str) -> str:
 
 CODES = POSITIONS + f""",
 product_codes as (select p_partkey as product_id, {_code_sql('p_size', 'p_partkey')} as code from part),
-position_codes as (select purchase_id, pos, product_id, {_code_sql('cast(l_quantity as integer)', '(product_id + l_linenumber)')} as code from wants where purchase_id % 16 = 0)"""
+position_codes as (select purchase_id, pos, product_id, {_code_sql('cast(l_quantity as integer)', '(product_id + l_linenumber)')} as code from wants)"""
 
 # -- texts, contracts, vectors ---------------------------------------------------------------------------
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings with text: id, title (first 300 characters on one line), lang, source, text."""
+    """Listings with text: id, title (the text on one line), lang, source, text."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").alias("id"), F.replace(F.substring(text, 1, 300), F.lit("\n"), F.lit(" ")).alias("title"), "lang", "source", text.alias("text"))
+    return docs.select(F.col("doc_id").alias("id"), F.replace(text, F.lit("\n"), F.lit(" ")).alias("title"), "lang", "source", text.alias("text"))
 
 
-TEXTS = "texts as (select doc_id as id, replace(substr(coalesce(text, ''), 1, 300), chr(10), ' ') as title, lang, source, coalesce(text, '') as text from documents)"
+TEXTS = "texts as (select doc_id as id, replace(coalesce(text, ''), chr(10), ' ') as title, lang, source, coalesce(text, '') as text from documents)"
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

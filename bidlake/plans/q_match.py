@@ -227,11 +227,11 @@ def _(spark, sf):
 @query(
     "rnk13_lot_placement",
     f"""with {B.CODES}, {RELATION}, r as (select *, row_number() over (partition by purchase_id, product_id order by rank desc, pos) as n from related), m as (select purchase_id, count(distinct pos) as total from position_codes group by 1)
-    select purchase_id, product_id, 'position ' || pos || ' of ' || total as placement from r join m using (purchase_id) where n = 1 and total > 1 and product_id % 50 = 0""",
+    select purchase_id, product_id, 'position ' || pos || ' of ' || total as placement from r join m using (purchase_id) where n = 1 and total > 1""",
 )
 def _(spark, sf):
     codes = B.position_codes(spark, sf).drop("product_id")
-    related = L.code_relation(B.product_codes(spark, sf).where("product_id % 50 = 0"), codes, ["product_id"], ["purchase_id", "pos"])
+    related = L.code_relation(B.product_codes(spark, sf), codes, ["product_id"], ["purchase_id", "pos"])
     return L.placement(L.best_position(related), codes.groupBy("purchase_id").agg(F.countDistinct("pos").alias("total")))
 
 
