@@ -7,8 +7,8 @@ import re
 
 import numpy as np
 
-#: A space between, or after, other white space may belong to a longer token.
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: A space between, or after, other white space may belong to a longer token; the first pattern is a quick look.
+_RUN, _UNSAFE = re.compile(r" (?:\s|\Z)"), re.compile(r"\s (?:\s|\Z)")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -23,12 +23,12 @@ class Encoder:
 
     A space always starts a new pre-token unless it stands between white space, so a text is cut
     before its spaces. Pieces are remembered, and so are the pre-tokens that new pieces consist of;
-    only pre-tokens not met before reach the library. ``memory`` bounds the remembered pre-tokens and
-    half of it the pieces; when one is full it is forgotten. Texts that cannot be cut safely are
+    only pre-tokens not met before reach the library. ``memory`` bounds the remembered pre-tokens and,
+    at seven tenths of it, the pieces; when one is full it is forgotten. Texts that cannot be cut safely are
     encoded whole.
     """
 
-    def __init__(self, path: str, memory: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, memory: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -42,16 +42,16 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that follow a space."""
-        parts = [self.split(" " + p) for p in pieces]
+    def _by_tokens(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces from those of their pre-tokens."""
+        parts = [self.split(p) for p in pieces]
         missing = list(set().union(*parts).difference(self.tokens))
         if len(self.tokens) + len(missing) > self.memory:
             self.tokens.clear()
             missing = list(set().union(*parts))
         self.tokens.update(zip(missing, self._encode(missing), strict=True))
         ids = self.tokens.__getitem__
-        out = {p: b"".join(map(ids, part)) for p, part in zip(pieces, parts, strict=True)}
+        out = [b"".join(map(ids, part)) for part in parts]
         for t in missing:
             if len(t) > self.longest:
                 del self.tokens[t]
@@ -64,17 +64,17 @@ class Encoder:
         cut, whole = [], []
         for i, text in enumerate(texts):
             if text:
-                (whole if _UNSAFE.search(text) else cut).append(i)
+                (whole if _RUN.search(text) and _UNSAFE.search(text) else cut).append(i)
         # A piece without its space is a text's beginning; the others get their space back below.
         pieces = {i: texts[i].split(" ") for i in cut}
         wanted = set().union(*pieces.values()) if pieces else set()
         fresh = list(wanted.difference(self.known))
-        if len(self.known) + len(fresh) > self.memory // 2:
+        if len(self.known) + len(fresh) > 0.7 * self.memory:
             self.known.clear()
             fresh = list(wanted)
-        new = self._new_pieces(fresh)
+        both = self._by_tokens([" " + p for p in fresh] + [pieces[i][0] for i in cut])
+        new, begin = dict(zip(fresh, both, strict=False)), both[len(fresh) :]
         self.known.update(new)
-        begin = self._encode([pieces[i][0] for i in cut])
         ids = self.known.__getitem__
         for i, first in zip(cut, begin, strict=True):
             out[i] = first + b"".join(map(ids, pieces[i][1:]))

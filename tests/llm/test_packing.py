@@ -42,7 +42,7 @@ def test_encoder_equals_the_library():
         own = Encoder(default_tokenizer(), memory=memory)
         got = [x for lo in range(0, len(texts), 500) for x in own.encode(texts[lo : lo + 500])]
         assert all(np.array_equal(a, b) for a, b in zip(got, plain_ids(texts), strict=True))
-        assert len(own.known) <= max(memory // 2, 2000) and len(own.tokens) <= max(memory, 2000)
+        assert len(own.known) <= max(0.7 * memory, 2000) and len(own.tokens) <= max(memory, 2000)
         assert all(len(p) <= own.longest for p in [*own.known, *own.tokens])
 
 
