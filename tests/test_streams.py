@@ -106,3 +106,11 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 101), (101, 100), (102, 102), (None, 5)], "a long, b long"))
     got = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
     assert {got[i] for i in range(61)} == {0} and got[101] == 100 and got[102] == 102
+
+
+def test_positions_start_at_a_new_name_or_a_repeated_key(spark):
+    from bidlake.operators.specs import positions_with_reset
+
+    rows = [(1, i, n, k) for i, (n, k) in enumerate([("A", "x"), ("A", "y"), ("A", "x"), ("A", "y"), ("B", "y"), ("B", "z"), ("C", "q")])]
+    got = positions_with_reset(spark.createDataFrame(rows, "doc long, row_no long, name string, key string")).orderBy("pos").collect()
+    assert [r["keys"] for r in got] == [["x", "y"], ["x", "y"], ["y", "z"]]
