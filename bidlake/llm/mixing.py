@@ -95,13 +95,16 @@ def word_tokens(text: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, targets: Targets | None = None, powers: dict[str, float] | None = None, budget: float | None = None, seed: int = 8, max_cells: int = 100_000
+    docs: DataFrame, targets: Targets | None = None, powers: dict[str, float] | None = None, budget: float | None = None, seed: int = 8, max_cells: int = 100_000, keep: float = 0.7
 ) -> DataFrame:
     """source, lang, topic, tokens, probability and kept beside doc_id and text_key, for every row.
 
     The cells source x language x topic are summed up over all rows; their table (``max_cells`` rows at
     most, more is an error) is what reaches the driver and is broadcast. Token weights are raked to the
-    ``targets``, or without them to the tempered marginals given by ``powers``. A row is kept if its
+    ``targets``, or without them to the tempered marginals given by ``powers``. Tempering gives a rare
+    value a gain without bound, so there the budget is ``keep`` of all tokens unless one is given: rare
+    cells are taken whole and don't shrink the others. Given targets are met exactly unless a budget is
+    given. A row is kept if its
     uniform number, a hash of doc_id and text, lies below its cell's probability: repeated rows fall
     alike, and the same rows are kept on every run and every cluster. Nulls are values of their own;
     null text is empty and weighs one token. An empty table gives an empty result.
@@ -117,6 +120,8 @@ def mix(
     if len(cells) > max_cells:
         raise ValueError(f"over {max_cells} cells of {dims}")
     share = rake(cells, targets or tempered(cells, powers))
+    if budget is None and not targets:
+        budget = keep * float(cells["tokens"].sum())
     cells["probability"] = probabilities(cells["tokens"].to_numpy(float), share, budget)
     table = [(*[None if pd.isna(x) else x for x in r[:3]], float(r[3])) for r in cells[[*dims, "probability"]].itertuples(index=False)]
     cell = F.broadcast(docs.sparkSession.createDataFrame(table, "c_source string, c_lang string, c_topic string, probability double"))

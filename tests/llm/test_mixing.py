@@ -75,3 +75,19 @@ def test_given_tables_keep_the_tempered_marginals(spark):
     for dim, wanted in tempered(table, {"source": 0.7, "lang": 0.85, "topic": 1.0}).items():
         share = expected.groupby(got[dim]).sum() / expected.sum()
         assert all(abs(share[k] - v) < 1e-6 for k, v in wanted.items())
+
+
+def test_a_rare_source_barely_moves_the_kept_share(spark):
+    docs = spark.range(10_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("w w w w "), F.col("id")).alias("text"), F.concat(F.lit("s"), F.col("id") % 20).alias("source"), F.lit("en").alias("lang")
+    )
+    odd = docs.withColumn("source", F.when(F.col("doc_id") == 5, "odd").otherwise(F.col("source")))
+    shares = [mix(d).agg(F.avg(F.col("kept").cast("double"))).first()[0] for d in (docs, odd)]
+    assert abs(shares[0] - shares[1]) < 0.01 and min(shares) > 0.65
+    assert mix(odd).where("source = 'odd' and kept").count() == 1
+
+
+def test_given_targets_stay_exact_without_a_budget(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") % 10 == 0, "de").otherwise("en").alias("lang"))
+    got = mix(docs, targets={"lang": {"de": 0.5, "en": 0.5}}).toPandas().groupby("lang")["probability"].first()
+    assert abs(got["de"] - 1) < 1e-9 and abs(got["en"] - 1 / 9) < 1e-6
