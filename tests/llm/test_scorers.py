@@ -175,3 +175,29 @@ def test_rules_on_the_given_tables(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in again:
         assert {k: getattr(r, k) for k in slow_base("")} == slow_base(texts[r.doc_id])
+
+
+def test_counts_and_continuations_take_every_document(spark):
+    rows = [(i, text + (" vile fool" if y else " vile day"), y) for i, text, y in corpus(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "only here unlabelled")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    wide, narrow = (toxicity.train(docs, labels, per_class=n) for n in (12_000, 40))
+    assert np.array_equal(wide.word, narrow.word) and np.array_equal(wide.back, narrow.back)
+    assert wide.table.count() == narrow.table.count() > 0
+    seen = {}
+    for text in [r[1] for r in rows] + ["only here unlabelled"]:
+        for p in toxicity.pairs(toxicity.word_ids(text)).tolist():
+            seen.setdefault(p & toxicity._MASK, set()).add(p)
+    got = toxicity.continuations(docs)
+    assert dict(zip(got["word"], got["types"], strict=True)) == {w: len(p) for w, p in seen.items()}
+
+
+def test_joined_pairs_equal_listed_pairs_and_repeats_are_alike(spark):
+    rows = [(i, text + (" vile fool" if y else " vile day"), y) for i, text, y in corpus(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 3, "doc_id long, text string")
+    models = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    table = models.table.toPandas().sort_values("pair")
+    whole = toxicity.replace(models, listed=table["pair"].to_numpy(), ratio=table["ratio"].to_numpy("f4"))
+    got = toxicity.features(docs, models).toPandas()
+    want = np.array([whole.features(t) for t in got["text"]])
+    assert len(got) == 403 and np.allclose(got[["a", "b"]].to_numpy(), want, atol=1e-4)
