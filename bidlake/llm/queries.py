@@ -43,7 +43,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    scored = toxicity.score_toxicity(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+    scored = toxicity.toxicity_scores(docs, toxicity.train(docs, _labels(spark, sf_dir)), "doc_id")
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 

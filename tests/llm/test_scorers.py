@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -33,8 +34,9 @@ def test_models_catch_held_out_toxic_documents(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(999_999, 1), (3, None)], "doc_id long, toxic int")
     models = toxicity.train(docs, labels)
-    got = toxicity.score_toxicity(docs, models).toPandas()
-    assert len(got) == len(rows) and got["score"].between(0, 1).all()
+    found = {r.doc_id: r for r in toxicity.score_toxicity(docs, models).collect()}
+    got = pd.DataFrame([found[r[0]] for r in rows], columns=["doc_id", "text", "score", "predicted"])
+    assert len(found) == len(rows) and got["score"].between(0, 1).all()
     held = [zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows]
     truth = np.array([r[2] for r in rows])
     assert (got["predicted"].to_numpy() == truth)[np.array(held)].mean() > 0.97
@@ -49,21 +51,51 @@ def test_held_out_labels_change_nothing(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     turned = labels.withColumn("toxic", F.when(id_remainder(F.col("doc_id"), 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    scores = [toxicity.score_toxicity(docs, toxicity.train(docs, x)).toPandas()["score"] for x in (labels, turned)]
-    assert scores[0].equals(scores[1])
+    scores = [{r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.train(docs, x)).collect()} for x in (labels, turned)]
+    assert scores[0] == scores[1] and len(scores[0]) == len(rows)
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    n = 400
-    words = pd.DataFrame({"word": np.arange(n), "0": rng.poisson(50, n), "1": rng.poisson(8, n), "types": rng.integers(1, 40, n)})
-    words.loc[:5, "1"] = 400
-    contexts = pd.DataFrame({"context": np.arange(n), "0": rng.poisson(50, n) + 20, "1": rng.poisson(8, n) + 20})
-    key = np.array([(3 << 20) | 7, (3 << 20) | 8])
-    special = pd.DataFrame({"pair": key, "e0": [0.0, 5.0], "e1": [9.0, 0.0]})
-    models = toxicity.build(words, contexts, special, 3.0, 1.0)
-    assert models.word[:6].min() > 1 and np.abs(np.median(models.word[6:400])) < 1e-6
-    assert models.ratio[0] > 0 > models.ratio[1] and (np.sort(key) == models.listed).all()
+def test_models_equal_brute_force_and_sum_to_one(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 11))): [rng.randint(1, 9), rng.randint(0, 5), rng.randint(0, 3)] for _ in range(60)}
+    table = spark.createDataFrame([(w, *n) for w, n in words.items()], "word string, n long, n0 long, n1 long")
+    got = {r.gram: (r.shared, r.p0, r.p1) for r in toxicity.class_models(table, 1.0, 20.0).collect()}
+
+    top = Counter(), Counter(), Counter()
+    for w, n in words.items():
+        s = f"^{w}$"
+        for i in range(1, len(s)):
+            for k in range(3):
+                top[k][s[max(0, i - 7) : i + 1]] += n[k]
+    back = lambda h: h[len(h) - max(x for x in (4, 2, 0) if x < len(h)) :]
+    counts = Counter(top[0])
+    for k in range(7, 0, -1):
+        for g in [g for g in counts if len(g) == k + 1]:
+            counts[(back(g[:-1]) if k not in (1, 2) else "") + g[-1]] += 1
+    letters = {g[-1] for g in counts}
+
+    def shared(h, x):
+        own = {y: counts[h + y] for y in letters if counts[h + y]}
+        below = 1 / (len(letters) + 1) if not h else shared(back(h) if len(h) > 2 else "", x)
+        kept = sum(max(n - 0.75, 0) for n in own.values())
+        return (max(own.get(x, 0) - 0.75, 0) + (sum(own.values()) - kept) * below) / sum(own.values())
+
+    def of_class(k, h, x):
+        own = [top[k][h + y] for y in letters]
+        free = sum(n - max(n - 1, 0) for n in own) + 20
+        return (max(top[k][h + x] - 1, 0) + free * shared(h, x)) / (sum(own) + 20)
+
+    assert set(got) == set(top[0])
+    for g, (s, p0, p1) in got.items():
+        assert np.allclose([s, p0, p1], [shared(g[:-1], g[-1]), of_class(1, g[:-1], g[-1]), of_class(2, g[:-1], g[-1])])
+    for h in {g[:-1] for g in got}:
+        for p in (shared, lambda h, x: of_class(1, h, x), lambda h, x: of_class(2, h, x)):
+            unseen = p(h, "~")  # one letter that was never seen
+            assert abs(sum(p(h, x) for x in letters) + unseen - 1) < 1e-9
+    ratio = {w: sum(np.log(got[f"^{w}$"[max(0, i - 7) : i + 1]][2] / got[f"^{w}$"[max(0, i - 7) : i + 1]][1]) for i in range(1, len(w) + 2)) for w in words}
+    found = {r.key: r.evidence for r in toxicity.telling(table, spark.createDataFrame([(g, *p) for g, p in got.items()], "gram string, shared double, p0 double, p1 double"), 0.3).collect()}
+    assert len(found) == sum(abs(r) > 0.3 for r in ratio.values()) > 0
+    assert np.allclose(sorted(found.values()), sorted(np.sign(r) * (abs(r) - 0.3) for r in ratio.values() if abs(r) > 0.3))
 
 
 def test_trains_without_labels_or_with_one_class(spark):
@@ -177,27 +209,30 @@ def test_rules_on_the_given_tables(spark):
         assert {k: getattr(r, k) for k in slow_base("")} == slow_base(texts[r.doc_id])
 
 
-def test_counts_and_continuations_take_every_document(spark):
+def test_counts_take_every_document(spark):
     rows = [(i, text + (" vile fool" if y else " vile day"), y) for i, text, y in corpus(400)]
-    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "only here unlabelled")], "doc_id long, text string")
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "only HERE here unlabelled"), (1001, None), (1002, "y" * 200)], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     wide, narrow = (toxicity.train(docs, labels, per_class=n) for n in (12_000, 40))
-    assert np.array_equal(wide.word, narrow.word) and np.array_equal(wide.back, narrow.back)
-    assert wide.table.count() == narrow.table.count() > 0
-    seen = {}
-    for text in [r[1] for r in rows] + ["only here unlabelled"]:
-        for p in toxicity.pairs(toxicity.word_ids(text)).tolist():
-            seen.setdefault(p & toxicity._MASK, set()).add(p)
-    got = toxicity.continuations(docs)
-    assert dict(zip(got["word"], got["types"], strict=True)) == {w: len(p) for w, p in seen.items()}
+    assert sorted(wide.grams.collect()) == sorted(narrow.grams.collect()) and sorted(wide.words.collect()) == sorted(narrow.words.collect())
+    want = Counter()
+    for r in docs.collect():
+        want.update(set(re.findall(r"\w{1,64}", (r.text or "").lower())))
+    assert {r.word: r.n for r in toxicity.vocabulary(docs).collect()} == dict(want)
 
 
-def test_joined_pairs_equal_listed_pairs_and_repeats_are_alike(spark):
+def test_evidence_equals_brute_force_and_repeats_are_alike(spark):
     rows = [(i, text + (" vile fool" if y else " vile day"), y) for i, text, y in corpus(400)]
-    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 3, "doc_id long, text string")
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 3 + [(None, "fool"), (500, None)], "doc_id long, text string")
     models = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
-    table = models.table.toPandas().sort_values("pair")
-    whole = toxicity.replace(models, listed=table["pair"].to_numpy(), ratio=table["ratio"].to_numpy("f4"))
-    got = toxicity.features(docs, models).toPandas()
-    want = np.array([whole.features(t) for t in got["text"]])
-    assert len(got) == 403 and np.allclose(got[["a", "b"]].to_numpy(), want, atol=1e-4)
+    keys = {r.word: r.key for r in toxicity.vocabulary(docs).select("word", F.xxhash64("word").alias("key")).collect()}
+    listed = {r.key: r.evidence for r in models.words.collect()}
+    got = toxicity.evidence(docs, models, "doc_id", "text").collect()
+    assert len(got) == len(rows) + 5 and listed
+    for r in got:
+        words = re.findall(r"\w{1,64}", (r.text or "").lower())
+        mean = sum(listed.get(keys[w], 0) for w in words) / max(len(words), 1)
+        assert abs(r.x - np.sign(mean) * abs(mean) ** 0.5) < 1e-9
+    kept = toxicity.without_toxic(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    flagged = {(r.doc_id, r.text) for r in toxicity.score_toxicity(docs, models).where("predicted = 1").collect()}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str((r.doc_id, r.text)) for r in docs.collect() if (r.doc_id, r.text) not in flagged)
