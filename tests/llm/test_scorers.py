@@ -92,10 +92,13 @@ def test_models_equal_brute_force_and_sum_to_one(spark):
         for p in (shared, lambda h, x: of_class(1, h, x), lambda h, x: of_class(2, h, x)):
             unseen = p(h, "~")  # one letter that was never seen
             assert abs(sum(p(h, x) for x in letters) + unseen - 1) < 1e-9
-    ratio = {w: sum(np.log(got[f"^{w}$"[max(0, i - 7) : i + 1]][2] / got[f"^{w}$"[max(0, i - 7) : i + 1]][1]) for i in range(1, len(w) + 2)) for w in words}
-    found = {r.key: r.evidence for r in toxicity.telling(table, spark.createDataFrame([(g, *p) for g, p in got.items()], "gram string, shared double, p0 double, p1 double"), 0.3).collect()}
-    assert len(found) == sum(abs(r) > 0.3 for r in ratio.values()) > 0
-    assert np.allclose(sorted(found.values()), sorted(np.sign(r) * (abs(r) - 0.3) for r in ratio.values() if abs(r) > 0.3))
+    grams = toxicity.telling_grams(toxicity.class_models(table, 1.0, 20.0), 0.05)
+    ratio = {w: [np.log(got[g][2] / got[g][1]) for g in (f"^{w}$"[max(0, i - 7) : i + 1] for i in range(1, len(w) + 2))] for w in words}
+    ratio = {w: sum(x for x in r if abs(x) > 0.05) for w, r in ratio.items()}
+    keys = {r.word: r.key for r in table.select("word", F.xxhash64("word").alias("key")).collect()}
+    found = {r.key: r.evidence for r in toxicity.telling_words(table, grams, 0.2).collect()}
+    want = {keys[w]: np.sign(r) * (abs(r) - 0.2) for w, r in ratio.items() if abs(r) > 0.2}
+    assert found.keys() == want.keys() and len(want) > 5 and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_trains_without_labels_or_with_one_class(spark):
@@ -218,14 +221,20 @@ def test_counts_take_every_document(spark):
     want = Counter()
     for r in docs.collect():
         want.update(set(re.findall(r"\w{1,64}", (r.text or "").lower())))
-    assert {r.word: r.n for r in toxicity.vocabulary(docs).collect()} == dict(want)
+    learn = docs.join(labels.withColumnRenamed("toxic", "label"), "doc_id")
+    got = toxicity.word_counts(docs, learn).collect()
+    assert {r.word: r.n for r in got} == dict(want) and all(r.n >= r.n0 + r.n1 for r in got)
+    by_label = [Counter(), Counter()]
+    for r in learn.collect():
+        by_label[r.label].update(set(re.findall(r"\w{1,64}", r.text.lower())))
+    assert all((r.n0, r.n1) == (by_label[0][r.word], by_label[1][r.word]) for r in got)
 
 
 def test_evidence_equals_brute_force_and_repeats_are_alike(spark):
     rows = [(i, text + (" vile fool" if y else " vile day"), y) for i, text, y in corpus(400)]
     docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 3 + [(None, "fool"), (500, None)], "doc_id long, text string")
     models = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
-    keys = {r.word: r.key for r in toxicity.vocabulary(docs).select("word", F.xxhash64("word").alias("key")).collect()}
+    keys = {r.word: r.key for r in docs.select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct().select("word", F.xxhash64("word").alias("key")).collect()}
     listed = {r.key: r.evidence for r in models.words.collect()}
     got = toxicity.evidence(docs, models, "doc_id", "text").collect()
     assert len(got) == len(rows) + 5 and listed
