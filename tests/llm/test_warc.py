@@ -6,7 +6,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from bidlake.functions.shared import new_path
+from bidlake.functions.shared import new_path, saved
 from bidlake.llm.warc import archive_round_trip, capture_key, lookup, read_index, write_archives
 
 SCHEMA = "page_id long, url string, html string, payload string"
@@ -28,7 +28,7 @@ def brute(rows):
 
 
 def test_round_trip(spark):
-    for options in ({}, {"block_records": 2, "parts": 3}):
+    for options in ({}, {"block_records": 2, "parts": 3}, {"block_bytes": 1, "archive_bytes": 600, "parts": 2}):
         got = archive_round_trip(spark.createDataFrame(ROWS, SCHEMA), **options)
         rows = [(r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload).decode()) for r in got.collect()]
         assert sorted(rows, key=str) == brute(ROWS)
@@ -37,12 +37,13 @@ def test_round_trip(spark):
 def test_archives_are_plain_warc_members_and_the_index_is_sorted(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 7, F.lit(".org/"), F.col("id") % 50).alias("url"), F.concat(F.lit("p"), F.col("id") % 200).alias("html"))
-    directory = write_archives(pages, path, block_records=16, parts=4)
+    directory = write_archives(pages, path, block_records=16, parts=4, archive_bytes=20_000)
     lines = read_index(spark, directory, path).toPandas()
     blocks = directory.toPandas()
     assert len(lines) == 300 and blocks["records"].max() == 16
-    names = blocks.drop_duplicates("part").set_index("part")["warc_file"]
-    for part, own in lines.groupby("part"):
+    names = blocks.drop_duplicates("archive").set_index("archive")["warc_file"]
+    assert len(names) > 6
+    for part, own in lines.groupby("archive"):
         assert list(own["key"]) == sorted(own["key"])
         data = (tmp_path / "w" / names[part]).read_bytes()
         assert sum(own["length"]) == len(data)
@@ -75,3 +76,16 @@ def test_hot_payload_and_host(spark):
     got = archive_round_trip(pages).toPandas()
     assert len(got) == 900 and (got["record_type"] == "revisit").sum() == 599 and set(got["refers_to"].dropna()) == {1}
     assert isinstance(got, pd.DataFrame)
+
+
+def test_very_long_pages_pass_in_slabs(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    long = F.concat(F.repeat(F.lit("<p>é 0123456789</p>"), 2_500_000), F.col("id").cast("string"))
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("https://one.org/").alias("url"), F.when(F.col("id") % 30 == 1, long).otherwise(F.col("id").cast("string")).alias("html"))
+    pages = saved(pages, "pages")
+    directory = write_archives(pages, path, parts=2)
+    keys = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
+    got = {r.page_id: r for r in lookup(directory, path, keys, payload=False).collect()}
+    assert len(got) == 60 and got[1].payload_bytes == 50_000_001
+    want = hashlib.sha1(("<p>é 0123456789</p>" * 2_500_000 + "31").encode()).digest()
+    assert got[31].payload_digest == base64.b32encode(want).decode()
