@@ -1,4 +1,4 @@
-"""Exact duplicates of normalised texts, DataFrame operations only."""
+"""Exact duplicates of normalised texts, DataFrame operations only; dropping them from wide tables uses a bitmap."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import saved
+from bidlake.llm.rows import row_key, settle
 
 #: Runs of ASCII white space count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -61,3 +62,12 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
         F.col("id").eqNullSafe(keep).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs``, all columns, with one row of each group of equal texts: the smallest doc_id, once if its row repeats.
+
+    Only decisions on groups of several rows go back to the rows, which stay where they are unless they may be in one.
+    """
+    found = exact_dedup(docs.select("doc_id", "text", row_key().alias("key")), **options)
+    return settle(docs, saved(found.where("group_size > 1").select("key", "kept"), "exact_decided"))

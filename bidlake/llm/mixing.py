@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import saved
+from bidlake.llm.rows import row_key, settle
 
 Targets = dict[str, dict[str | None, float]]
 
@@ -97,7 +98,7 @@ def word_tokens(text: Column) -> Column:
 def mix(
     docs: DataFrame, targets: Targets | None = None, powers: dict[str, float] | None = None, budget: float | None = None, seed: int = 8, max_cells: int = 100_000, keep: float = 0.7
 ) -> DataFrame:
-    """source, lang, topic, tokens, probability and kept beside doc_id and text_key, for every row.
+    """source, lang, topic, tokens, probability and kept beside doc_id, key (:func:`row_key`) and text_key, for every row.
 
     The cells source x language x topic are summed up over all rows; their table (``max_cells`` rows at
     most, more is an error) is what reaches the driver and is broadcast. Token weights are raked to the
@@ -113,7 +114,7 @@ def mix(
     powers = powers or {"source": 0.7, "lang": 0.85, "topic": 1.0}
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = saved(
-        docs.select("doc_id", F.xxhash64(text).alias("text_key"), "source", "lang", layout_topic(text).alias("topic"), word_tokens(text).alias("tokens")), "mix_rows"
+        docs.select("doc_id", row_key().alias("key"), F.xxhash64(text).alias("text_key"), "source", "lang", layout_topic(text).alias("topic"), word_tokens(text).alias("tokens")), "mix_rows"
     )
     found = rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).limit(max_cells + 1)
     cells = found.toPandas()
@@ -126,11 +127,9 @@ def mix(
     table = [(*[None if pd.isna(x) else x for x in r[:3]], float(r[3])) for r in cells[[*dims, "probability"]].itertuples(index=False)]
     cell = F.broadcast(docs.sparkSession.createDataFrame(table, "c_source string, c_lang string, c_topic string, probability double"))
     on = F.col("source").eqNullSafe(F.col("c_source")) & F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("topic").eqNullSafe(F.col("c_topic"))
-    return rows.join(cell, on).select("doc_id", "text_key", *dims, "tokens", "probability", (uniform("doc_id", "text_key", seed=seed) < F.col("probability")).alias("kept"))
+    return rows.join(cell, on).select("doc_id", "key", "text_key", *dims, "tokens", "probability", (uniform("doc_id", "text_key", seed=seed) < F.col("probability")).alias("kept"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns; options as for :func:`mix`."""
-    gone = mix(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+    return settle(docs, saved(mix(docs, **options).where("not kept").select("key", "kept").distinct(), "mix_gone"))

@@ -109,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, wi
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, buckets: int | None = None) -> DataFrame:

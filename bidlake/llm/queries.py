@@ -68,7 +68,7 @@ def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return mixing.mix(docs).drop("text_key")
+    return mixing.mix(docs).drop("key", "text_key")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

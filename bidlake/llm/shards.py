@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,14 +37,14 @@ def _splitters(rows: DataFrame, total: int, pieces: int, oversample: int, seed:
     return np.unique(sample["key"].to_numpy(np.int64)[np.minimum(cuts, len(sample) - 1)])
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int | None = None, oversample: int = 32, rounds: int = 4) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int | None = None, oversample: int = 32) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     Size is the text's UTF-8 bytes plus one. Rows are ordered by a key that holds the hash of the
     text above the hash of the doc_id, so equal texts lie side by side and a large group of them can
     still be cut. A sample drawn in proportion to size (``ranges`` * ``oversample`` keys at most on
     average, all the driver sees of the rows) gives quantile splitters; ranges with over twice their
-    share of the bytes are subdivided by splitters drawn within them, ``rounds`` times at most. Each
+    share of the bytes are subdivided by splitters drawn within them until none holds several keys. Each
     range then numbers its rows, the ranges' totals are summed up, and a row goes to the shard in
     which the middle of its bytes falls: shards differ by less than about two rows' size.
 
@@ -60,12 +62,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int | None = None,
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     bounds = _splitters(rows, total, ranges, oversample, 0)
-    for attempt in range(rounds + 1):
+    for attempt in itertools.count():
         placed = rows.withColumn("range", _range_of(bounds, "key"))
         sums = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         sums = sums.toPandas().sort_values("range")
         over = sums[(sums["bytes"] > 2 * total / ranges) & (sums["lo"] < sums["hi"])]
-        if over.empty or attempt == rounds:
+        if over.empty:
             break
         inside = placed.where(F.col("range").isin(over["range"].tolist()))
         excess = int(over["bytes"].sum())

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import connected_components, saved
+from bidlake.llm.rows import row_key, settle
 
 BITS = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -48,64 +49,55 @@ def _budgets(distance: int, segments: int) -> list[int]:
     return [length * distance // segments for length in range(1, segments + 1)]
 
 
-def links(prints: DataFrame, distance: int = 2, segments: int = 8, bucket_limit: int = 256) -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of all fingerprint pairs at ``distance`` or fewer bits.
+def _bits(value: int) -> Column:
+    return F.lit(value - (1 << BITS) if value >> (BITS - 1) else value).cast("long")
+
+
+def links(prints: DataFrame, distance: int = 2, segments: int = 8) -> DataFrame:
+    """Edges ``(a, b)``: all pairs of fingerprints that differ in ``distance`` or fewer bits, some of them repeatedly.
 
     ``prints`` has distinct signed fingerprints in ``fp``. The fingerprint is a ring of ``segments``
     equal segments. By the pigeonring principle a pair within the distance has a start from which
-    every prefix of the chain of following segments stays within its proportional budget. The leading
-    prefixes have budget zero, so they are an equi-join key; the other prefixes filter inside the
-    join, before the full Hamming distance.
-
-    A bucket of more than ``bucket_limit`` fingerprints is not paired off. There every fingerprint
-    announces itself and its one-bit changes (distance 2) and links to the smallest announcer of each
-    point: two fingerprints meet in a point exactly if they differ in at most two bits, and a point
-    has at most one announcer per free bit, so this is linear and loses no component. Other
-    distances than 2 take the pair join for all buckets.
+    every prefix of the chain of following segments stays within its proportional budget. Fingerprints
+    that share no prefix of budget zero with another leave first. The longest prefix of budget one is
+    the join key: one side announces its prefix and every prefix with one more bit set past the part of
+    budget zero, the other stands under its own, so a pair meets exactly if its prefixes differ in one
+    bit at most there. The longer prefixes filter inside the join, before the full Hamming distance.
+    A key holds only fingerprints that differ in the rest of the ring (8 bits for the defaults), so its
+    size doesn't grow with the table and no bucket is hot, whatever the copies.
     """
     if distance == 0:
         return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     if BITS % segments or distance >= segments:
         raise ValueError("segments must divide 64 and exceed the distance")
     width, budgets = BITS // segments, _budgets(distance, segments)
-    exact = sum(b == 0 for b in budgets) * width
+    exact, near = (sum(b <= most for b in budgets) * width for most in (0, 1))
     turned = [
         F.struct(F.lit(i).alias("start"), (F.shiftrightunsigned("fp", i * width).bitwiseOR(F.shiftleft("fp", BITS - i * width)) if i else F.col("fp")).alias("ring"))
         for i in range(segments)
     ]
-    keys = prints.select("fp", F.explode(F.array(*turned)).alias("t")).select(
-        "fp", "t.start", "t.ring", F.col("t.ring").bitwiseAND(F.lit((1 << exact) - 1)).alias("key")
-    )
-    sizes = keys.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = saved(keys.join(sizes, ["start", "key"]), "simhash_buckets")
-
-    small = buckets if distance != 2 else buckets.where(F.col("n") <= bucket_limit)
-    left = small.select("start", "key", F.col("fp").alias("a"), F.col("ring").alias("ring_a"))
-    right = small.select("start", "key", F.col("fp").alias("b"), F.col("ring").alias("ring_b"))
+    keys = prints.select("fp", F.explode(F.array(*turned)).alias("t")).select("fp", "t.start", "t.ring", F.col("t.ring").bitwiseAND(_bits((1 << exact) - 1)).alias("key"))
+    shared = keys.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    prefix = F.col("ring").bitwiseAND(_bits((1 << near) - 1))
+    rings = saved(keys.join(shared, ["start", "key"]).select("start", "fp", "ring", prefix.alias("prefix")), "simhash_rings")
+
+    more = [F.when(F.col("ring").bitwiseAND(_bits(1 << i)) == 0, F.col("prefix").bitwiseOR(_bits(1 << i))) for i in range(exact, near)]
+    points = F.explode(F.array(F.col("prefix"), *more)).alias("point")
+    left = rings.select("start", F.col("fp").alias("a"), F.col("ring").alias("ring_a"), F.col("prefix").alias("own"), points).where("point is not null")
+    right = rings.select("start", F.col("fp").alias("b"), F.col("ring").alias("ring_b"), "prefix")
     differs = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
-    chain = F.col("a") < F.col("b")
+    chain = (F.col("point") != F.col("own")) | (F.col("a") < F.col("b"))
     for length, budget in enumerate(budgets, 1):
-        bits = length * width
-        if bits > exact:
-            part = differs if bits == BITS else differs.bitwiseAND(F.lit((1 << bits) - 1))
-            chain = chain & (F.bit_count(part) <= budget)
-    on = (left["start"] == right["start"]) & (left["key"] == right["key"]) & chain
-    edges = left.join(right, on).select("a", "b")
-    if distance != 2:
-        return edges
-
-    large = buckets.where(F.col("n") > bucket_limit)
-    rest = F.shiftrightunsigned("ring", exact)
-    points = F.array(rest, *[rest.bitwiseXOR(F.lit(1 << i)) for i in range(BITS - exact)])
-    meet = large.select("start", "key", "fp", F.explode(points).alias("point")).groupBy("start", "key", "point").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    stars = meet.where(F.size("fps") > 1).select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, BITS + 1)).alias("b"))
-    return edges.union(stars.distinct())
-
-
-def simhash_groups(docs: DataFrame, distance: int = 2, shingle: int = 3, segments: int = 8, bucket_limit: int = 256, salts: int = 32) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, fingerprint (16 hex digits), component_id.
-
-    text_key is xxhash64 of the text and tells apart rows that repeat a doc_id. Equal fingerprints
+        if length * width > exact:
+            chain = chain & (F.bit_count(differs.bitwiseAND(_bits((1 << length * width) - 1))) <= budget)
+    on = (left["start"] == right["start"]) & (left["point"] == right["prefix"]) & chain
+    return left.join(right, on).select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, distance: int = 2, shingle: int = 3, segments: int = 8, salts: int = 32) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (:func:`row_key`), fingerprint (16 hex digits), component_id.
+
+    Equal fingerprints
     form one class before any search, so copies cost one row each; components run over the classes
     that have a link. component_id is the smallest doc_id of the component. Null and empty texts have
     fingerprint zero and link like any other; null doc_ids belong to their component but never name
@@ -113,24 +105,24 @@ def simhash_groups(docs: DataFrame, distance: int = 2, shingle: int = 3, segment
     """
     raw = F.coalesce(F.col("text"), F.lit(""))
     prints = saved(
-        docs.select("doc_id", F.xxhash64(raw).alias("text_key"), fingerprint(raw, shingle).alias("fp")).withColumn(
-            "salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+        docs.select("doc_id", row_key().alias("key"), fingerprint(raw, shingle).alias("fp")).withColumn(
+            "salt", F.pmod("key", F.lit(salts)).cast("int")
         ),
         "simhash",
     )
     by_salt = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("first"))
     classes = saved(by_salt.groupBy("fp").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts")), "simhash_classes")
-    parts = connected_components(links(classes.select("fp"), distance, segments, bucket_limit), "a", "b")
+    parts = connected_components(links(classes.select("fp"), distance, segments), "a", "b")
     joined = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     firsts = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(firsts, "component").select("fp", "component_id", F.explode("salts").alias("salt"))
     return prints.join(named, ["fp", "salt"]).select(
-        "doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", "key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, all columns, with one document of each component: the one with the smallest doc_id."""
-    gone = simhash_groups(docs, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+    """Rows of ``docs``, all columns, with one document of each component: the one with the smallest doc_id, once if its row repeats."""
+    groups = saved(simhash_groups(docs, **options).select("key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "simhash_groups")
+    repeated = groups.where("kept").groupBy("key", "kept").count().where("count > 1").select("key", "kept")
+    return settle(docs, saved(groups.where("not kept").unionByName(repeated), "simhash_decided"))

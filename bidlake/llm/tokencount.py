@@ -19,14 +19,16 @@ _AT_ONCE = 128
 def write_token_files(docs: DataFrame, path: str, end_id: int, dtype: str = "<u2", tokenizer: str | None = None) -> DataFrame:
     """Writes the ids of ``docs``, each closed by ``end_id``, as one flat file per task under ``path``.
 
-    Returns the order of writing: file, doc_no, doc_id. Only the files of accepted attempts appear.
+    Returns the order of writing: file, doc_no, doc_id. Only the files of accepted attempts appear. The
+    string of a special token in a text is encoded as ordinary text, so ``end_id`` only closes documents.
+    Null text is empty; repeated rows and null ids are written like others, long texts whole.
     """
     tokenizer = tokenizer or default_tokenizer()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        encode, task = encoder(tokenizer).encode, TaskContext.get()
+        encode, task = encoder(tokenizer, special=False).encode, TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)

@@ -9,7 +9,7 @@ import numpy as np
 
 #: A space between, or after, other white space may belong to a longer token; the first pattern is a quick look.
 _RUN, _UNSAFE = re.compile(r" (?:\s|\Z)"), re.compile(r"\s (?:\s|\Z)")
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -25,10 +25,11 @@ class Encoder:
     before its spaces. Pieces are remembered, and so are the pre-tokens that new pieces consist of;
     only pre-tokens not met before reach the library. ``memory`` bounds the remembered pre-tokens and,
     at seven tenths of it, the pieces; when one is full it is forgotten. Texts that cannot be cut safely are
-    encoded whole.
+    encoded whole, as are those that hold the string of a special token. Such a string gives the token's
+    id, as in a plain ``encode``; with ``special`` off it is ordinary text.
     """
 
-    def __init__(self, path: str, memory: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, special: bool = True, memory: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -36,7 +37,9 @@ class Encoder:
 
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.memory, self.longest, self.known, self.tokens = memory, longest, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -64,7 +67,7 @@ class Encoder:
         cut, whole = [], []
         for i, text in enumerate(texts):
             if text:
-                (whole if _RUN.search(text) and _UNSAFE.search(text) else cut).append(i)
+                (whole if self.added(text) or _RUN.search(text) and _UNSAFE.search(text) else cut).append(i)
         # A piece without its space is a text's beginning; the others get their space back below.
         pieces = {i: texts[i].split(" ") for i in cut}
         wanted = set().union(*pieces.values()) if pieces else set()
@@ -86,8 +89,8 @@ class Encoder:
         return [np.frombuffer(x, "<u4") for x in out]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """The worker's encoder of a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]

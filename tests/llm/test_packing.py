@@ -9,15 +9,15 @@ from bidlake.llm.packing import CapacityTree, best_fit_plan, pack, sequences
 from bidlake.llm.tokencount import count_tokens, token_counts
 from bidlake.llm.tokens import Encoder, default_tokenizer
 
-TEXTS = ["", None, "a", "two words", "  lead and  gaps \n\n \n x  ", "tab\t x \ny\n z ", "é è ñ ü 你好 🙂", "<|endoftext|> in text", "x" * 3000, "don't we're ' s",
+TEXTS = ["", None, "a", "two words", "  lead and  gaps \n\n \n x  ", "tab\t x \ny\n z ", "é è ñ ü 你好 🙂", "<|endoftext|> in text", "a <|endoftext|> b", "a<|endoftext|>  \n<|endoftext|>", "x" * 3000, "don't we're ' s",
          "word " * 5000, " nb   x  y", "a\x1c b \x1d c \x85 d", "1 22  333   4444    5", "end "]
 
 
-def plain_ids(texts):
+def plain_ids(texts, special=True):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4") for x in texts]
 
 
@@ -38,10 +38,10 @@ def test_encoder_equals_the_library():
     odd = [" ".join(rng.choice(["a", "", "\n", "b\n", "\t", "é.", " ", "\x1f", "9", "'s", "　"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
     every = [f"a{chr(c)} {chr(c)}b {chr(c)} {chr(c)}" for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
     texts = TEXTS + odd + every
-    for memory in (400_000, 50):
-        own = Encoder(default_tokenizer(), memory=memory)
+    for memory, special in ((400_000, True), (50, True), (400_000, False)):
+        own = Encoder(default_tokenizer(), special, memory=memory)
         got = [x for lo in range(0, len(texts), 500) for x in own.encode(texts[lo : lo + 500])]
-        assert all(np.array_equal(a, b) for a, b in zip(got, plain_ids(texts), strict=True))
+        assert all(np.array_equal(a, b) for a, b in zip(got, plain_ids(texts, special), strict=True))
         assert len(own.known) <= max(0.7 * memory, 2000) and len(own.tokens) <= max(memory, 2000)
         assert all(len(p) <= own.longest for p in [*own.known, *own.tokens])
 
@@ -121,7 +121,7 @@ def test_packed_sequences_hold_the_ids(spark):
     whole = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in sequences(packed).collect()}
     for r in packed.collect():
         assert bytes(r.ids) == whole[r.sequence_id][r.offset : r.offset + r.length].tobytes()
-    assert sum(map(len, whole.values())) == sum(len(x) + 1 for x in plain_ids([t for _, t in rows]))
+    assert sum(map(len, whole.values())) == sum(len(x) + 1 for x in plain_ids([t for _, t in rows], special=False))
 
 
 def test_nothing_to_pack(spark):
@@ -131,7 +131,7 @@ def test_nothing_to_pack(spark):
 
 def test_token_counts(spark):
     rows = list(enumerate(TEXTS)) + [(None, "a b c"), (3, "two words"), (3, "two words")]
-    want = sorted(((d, len(x)) for (d, _), x in zip(rows, plain_ids([t for _, t in rows]), strict=True)), key=str)
+    want = sorted(((d, len(x)) for (d, _), x in zip(rows, plain_ids([t for _, t in rows], special=False), strict=True)), key=str)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (1 << 24, 64, 2):
         assert sorted(map(tuple, token_counts(docs, block_bytes=block).collect()), key=str) == want
