@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = 15
 
 
 def row_key(text: Column | None = None) -> Column:
@@ -28,18 +29,28 @@ def marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def bitmap(keys: DataFrame, most: int = 27) -> np.ndarray:
-    """A bitmap with one bit for each key of the one long column: some other keys share a bit, none is missed. 16 bits a key, 2^``most`` (16 MB) in all at most."""
-    bits = int(np.clip((16 * keys.count()).bit_length(), 10, most))
+    """A bitmap with one bit for each key of the one long column: some other keys share a bit, none is missed.
+
+    16 bits a key, 2^``most`` (16 MB) in all at most; it is put together in pieces of 4 KB.
+    """
+    bits = int(np.clip((16 * keys.count()).bit_length(), _PIECE, most))
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = _slots(batch["key"].to_numpy(np.int64), bits)
-            yield pd.DataFrame({"byte": at >> 3, "bit": 1 << (at & 7)})
-
-    marks = np.zeros(1 << (bits - 3), np.uint8)
-    found = keys.toDF("key").mapInPandas(slots, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
-    marks[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
-    return marks
+            at = np.unique(_slots(batch["key"].to_numpy(np.int64), bits))
+            piece, first = np.unique(at >> _PIECE, return_index=True)
+            yield pd.DataFrame({"piece": piece, "places": [x.astype("<u2").tobytes() for x in np.split(at & ((1 << _PIECE) - 1), first[1:])][: len(piece)]})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << _PIECE, bool)
+        for places in part["places"]:
+            own[np.frombuffer(places, "<u2")] = True
+        return pd.DataFrame({"piece": part["piece"].iloc[:1], "own": [np.packbits(own, bitorder="little").tobytes()]})
+
+    marks = np.zeros((1 << (bits - _PIECE), 1 << (_PIECE - 3)), np.uint8)
+    for r in keys.toDF("key").mapInPandas(slots, "piece long, places binary").groupBy("piece").applyInPandas(merge, "piece long, own binary").collect():
+        marks[r.piece] = np.frombuffer(r.own, np.uint8)
+    return marks.reshape(-1)
 
 
 def may_hold(docs: DataFrame, marks: np.ndarray, key: Column) -> Column:
