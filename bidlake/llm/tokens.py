@@ -94,3 +94,10 @@ def encoder(path: str, special: bool = True) -> Encoder:
     if (path, special) not in _ENCODERS:
         _ENCODERS[path, special] = Encoder(path, special)
     return _ENCODERS[path, special]
+
+
+def forget() -> None:
+    """Gives back the memory that encoders of this worker took for an earlier stage; they fill it again when used."""
+    for held in _ENCODERS.values():
+        held.known.clear()
+        held.tokens.clear()
