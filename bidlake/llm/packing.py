@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import saved
-from bidlake.llm.tokens import default_tokenizer, encoder
+from bidlake.llm.tokens import default_tokenizer, encoder, forget
 
 _AT_ONCE = 128
 
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int").alias("bucket")
-    pieces = saved(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, with_ids).select("*", own), "pieces")
+    pieces = saved(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, with_ids).select("*", own, F.monotonically_increasing_id().alias("row")), "pieces")
     held = saved(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
     counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_fit_plan(counts, capacity)
@@ -137,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        forget()
         length, rank = length.to_numpy(), rank.to_numpy()
         at = np.searchsorted(starts, (length << 44) + rank, side="right") - 1
         nth = rank - columns["first"][at]
@@ -146,8 +147,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     lower = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("length", "bucket", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("base"))
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("nth", nth).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
-    return ranked.withColumn("at", place("length", "rank")).select(*[c for c in pieces.columns if c != "bucket"], "at.sequence_id", "at.offset")
+    ranked = pieces.drop("ids").withColumn("nth", nth).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
+    placed = ranked.withColumn("at", place("length", "rank"))
+    if with_ids:  # they join their places once those are known
+        placed = placed.join(pieces.select("row", "ids"), "row")
+    return placed.select(*[c for c in pieces.columns if c not in ("bucket", "row")], "at.sequence_id", "at.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
