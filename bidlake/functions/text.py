@@ -23,13 +23,16 @@ class LanguagePack:
     measured: str
 
 
-# Russian noun and adjective endings, longest first, and prefixes of words that tell nothing.
+# Fixed values that must equal the reference's: endings in the order they are tried, words of which the first five
+# letters mark a term that tells nothing, and the consonants before a fleeting vowel.
 RUSSIAN = LanguagePack(
     letters="а-яёa-z",
-    endings=("иями", "иях", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "иям", "ией", "ая", "яя", "ое", "ее", "ые", "ие", "ый", "ий", "ой", "ей", "ых", "их",
-             "ую", "юю", "ам", "ям", "ах", "ях", "ов", "ев", "ом", "ем", "ия", "ию", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь", "й"),
-    stop_prefixes=("постав", "товар", "услуг", "работ", "закуп", "нужд"),
-    fleeting=r"^(.+[бвгджзклмнпрстфхцчшщ])[оеё]к$",
+    endings=("иями", "иях", "ами", "ями", "его", "ому", "ыми", "ими", "ого", "ах", "ях", "ов", "ев", "ий", "ый", "их", "ых", "ая", "яя", "ое", "ые", "ие", "ом", "ем", "им", "ым", "ой", "ей",
+             "а", "я", "о", "е", "и", "ы", "у", "ю", "й", "ь"),
+    stop_prefixes=("поставка", "закупка", "товар", "оказание", "услуги", "выполнение", "работ", "нужд", "государственн", "бюджетн", "учреждение", "который", "должен", "должн", "дней", "также",
+                   "соответствии", "требования", "наличие", "договор", "контракт", "заказчик", "подрядчик", "поставщик", "исполнител", "срок", "оплат", "гарант", "ответственн", "обязательств",
+                   "документац", "условия", "порядок", "качеств", "обеспечен", "изменен", "стоимост", "заявк", "предусмотрен", "осуществля", "являетс", "российск", "федераци", "наименован", "быть"),
+    fleeting=r"^(.+[бвгджзйклмнпрстфхцчшщ])[оеё]к$",
     measured="а-яё",
 )
 LATIN = LanguagePack(letters="a-zß-öø-ÿ", endings=("ings", "ing", "ed", "es", "s"), stop_prefixes=("licen", "versi"), fleeting=None, measured="a-z")
@@ -57,7 +60,7 @@ def tokens(c: Column, pack: LanguagePack = RUSSIAN) -> Column:
 
 
 def stem(word: Column, pack: LanguagePack = RUSSIAN) -> Column:
-    """Longest listed ending cut off where at least four characters stay."""
+    """The first listed ending that leaves at least four characters is cut off; the lists hold longer endings first."""
     return F.regexp_replace(word, "^(.{4,}?)(" + "|".join(pack.endings) + ")$", "$1")
 
 
@@ -68,6 +71,11 @@ def fleeting(word: Column, pack: LanguagePack = RUSSIAN) -> Column:
     return F.when(word.rlike(pack.fleeting), F.concat(F.regexp_extract(word, pack.fleeting, 1), F.lit("к")))
 
 
+def is_stopped(term: Column, pack: LanguagePack = RUSSIAN) -> Column:
+    """Whether a stem starts with the first five letters of a stop word."""
+    return term.rlike("^(?:" + "|".join(dict.fromkeys(w[:5] for w in pack.stop_prefixes)) + ")")
+
+
 def name_tokens(c: Column) -> Column:
     """Sorted distinct tokens of a field name: equal arrays mean equal token sets."""
     return F.array_sort(F.array_distinct(F.filter(F.split(plain(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")))
@@ -96,31 +104,35 @@ def numbers(c: Column) -> Column:
 
 
 def unit_of(c: Column) -> Column:
-    """Letters right after the first number, without separators of sizes; empty if there are none."""
-    unit = F.regexp_extract(c, NUMBER + r"\s*([\p{L}%°·]+)", 1)
-    return F.when(F.lower(unit).isin("x", "х"), F.lit("")).otherwise(F.lower(unit))
+    """The unit right after the first number, dotted compounds whole; empty if there is none or a sign of sizes stands there."""
+    unit = F.regexp_extract(c, NUMBER + r"[\s\x{00A0}]*(\p{L}+(?:[·.⋅‧]\p{L}+)*|%|°)", 1)
+    return F.when(F.lower(unit).isin("x", "х"), F.lit("")).otherwise(unit)
+
+
+# Fixed values that must equal the reference's: cleaned units, their family and their scale to its base.
+UNITS = {
+    "амперчас": ("charge", 1.0), "ач": ("charge", 1.0), "ah": ("charge", 1.0), "миллиамперчас": ("charge", 0.001), "мач": ("charge", 0.001), "mah": ("charge", 0.001),
+    "миллиметр": ("len", 1.0), "мм": ("len", 1.0), "mm": ("len", 1.0), "сантиметр": ("len", 10.0), "см": ("len", 10.0), "cm": ("len", 10.0),
+    "метр": ("len", 1000.0), "м": ("len", 1000.0), "m": ("len", 1000.0),
+}
+
+
+def clean_unit(unit: Column) -> Column:
+    """A unit as the table of families has it: lower case, ё as е, letters and digits only."""
+    return F.regexp_replace(plain(unit), "[^0-9a-zа-я]", "")
 
 
-#: Units of a family with their scale to the family's base.
-UNIT_FAMILIES = {
-    "length": {"мкм": 0.001, "мм": 1.0, "см": 10.0, "дм": 100.0, "м": 1000.0, "mm": 1.0, "cm": 10.0, "m": 1000.0},
-    "charge": {"мач": 1.0, "ма·ч": 1.0, "ач": 1000.0, "а·ч": 1000.0},
-}
+def _of_unit(unit: Column, part: int) -> Column:
+    table = F.create_map(*[x for name, own in UNITS.items() for x in (F.lit(name), F.lit(own[part]))])
+    return F.try_element_at(table, clean_unit(unit))
 
 
 def unit_family(unit: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for family, scales in UNIT_FAMILIES.items():
-        out = F.when(unit.isin(*scales), F.lit(family)).otherwise(out)
-    return out
+    return _of_unit(unit, 0)
 
 
 def unit_scale(unit: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for scales in UNIT_FAMILIES.values():
-        for name, scale in scales.items():
-            out = F.when(unit == name, F.lit(scale)).otherwise(out)
-    return out
+    return _of_unit(unit, 1)
 
 
 def resolution(c: Column) -> Column:
@@ -134,8 +146,9 @@ _CYRILLIC, _LATIN = "аеорсухкмтвн", "aeopcyxkmtbh"
 
 
 def fold(c: Column) -> Column:
-    """Lower case, look-alike letters unified, a leading size word dropped."""
-    return F.regexp_replace(F.translate(F.lower(squeeze(c)), _CYRILLIC, _LATIN), r"^(?:pa3mep|размер|size)\s+", "")
+    """Lower case without a leading mark of sizes (``№ 3``, ``size 3``), look-alike letters unified."""
+    bare = F.regexp_replace(F.lower(c), r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")
+    return F.translate(F.regexp_replace(bare, r"^(?:№|#|no\.?|размер|size)[\s\x{00A0}]*", ""), _CYRILLIC, _LATIN)
 
 
 def js_round(c: Column) -> Column:

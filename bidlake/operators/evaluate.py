@@ -78,7 +78,7 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
     text_equal = lambda a, r: (a == r) | F.contains(a, r) | F.contains(r, a) | _same_group(a, r, groups)
     amount = lambda x: F.when(x["kind"] == "num", x["d"]).when(x["kind"] == "str", T.number(x["s"]))
     req_number = F.when(req["kind"] == "bool", req["b"].cast("double")).otherwise(amount(req))
-    req_unit = F.lower(F.coalesce(F.when(F.col("req_unit") != "", F.col("req_unit")), T.unit_of(req["s"]), F.lit("")))
+    req_unit = F.coalesce(F.when(F.col("req_unit") != "", F.col("req_unit")), T.unit_of(req["s"]), F.lit(""))
 
     # Candidates of an attribute: every item's number with unit, and the product of ``A x B``.
     own = F.transform(F.col("attr_items"), lambda x: F.struct(amount(x).alias("n"), F.when(x["kind"] == "str", T.unit_of(x["s"])).otherwise("").alias("u")))
@@ -89,16 +89,18 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
         """The candidate in the requirement's unit; null if the units don't go together."""
         u, r = x["u"], F.col("req_u")
         same = F.coalesce(family(u) == family(r), F.lit(False))
-        return F.when(same, x["n"] * T.unit_scale(u) / T.unit_scale(r)).when((u == r) | (u == "") | (r == ""), x["n"])
+        return F.when(same, x["n"] * T.unit_scale(u) / T.unit_scale(r)).when((T.fold(u) == T.fold(r)) | (u == "") | (r == ""), x["n"])
 
     many = lambda v: F.size(F.regexp_extract_all(v["s"], F.lit(f"({T.NUMBER})"))) > 1
     rows = pairs.withColumns({"attr_items": F.coalesce(as_items(attr), F.array().cast(f"array<{ITEM}>")), "req_items": F.coalesce(as_items(req), F.array().cast(f"array<{ITEM}>")), "req_u": req_unit, "req_n": req_number})
     rows = rows.withColumn("candidates", F.when(op.isin("gte", "lte", "range"), F.filter(F.transform(F.concat(own, product), converted), lambda n: n.isNotNull())))
+    # A number whose unit doesn't go together with the requirement's fails it; no number at all is a gap.
+    rows = rows.withColumn("has_number", F.exists(own, lambda x: x["n"].isNotNull()) | (F.size(product) > 0))
     a, r, cands = F.col("attr_items"), F.col("req_items"), F.col("candidates")
     all_found = F.forall(r, lambda x: F.exists(a, lambda y: match(y["s"], x["s"])))
     any_listed = F.exists(a, lambda y: F.exists(r, lambda x: match(y["s"], x["s"])))
     any_equal = F.exists(a, lambda y: match(y["s"], req["s"]) | text_equal(norm(y["s"]), norm(req["s"])))
-    reply = lambda ok: F.when(F.size(cands) == 0, None).otherwise(ok)
+    reply = lambda ok: F.when(F.col("has_number"), ok)
     bound = lambda compare: F.when(F.col("req_n").isNull(), None).otherwise(reply(F.exists(cands, lambda n: compare(n, F.col("req_n")))))
     low, high = amount(F.get(r, F.lit(0))), amount(F.get(r, F.lit(1)))
     close = lambda x, y: F.abs(x - y) <= F.lit(1e-6) * F.greatest(F.lit(1.0), x)
@@ -127,7 +129,7 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
     status = F.when(is_missing(attr), GAP).when(outcome.isNull(), GAP).when(outcome, PASS).otherwise(failed)
     edge = op.isin("gte", "lte") & F.exists(cands, lambda n: n == F.col("req_n"))
     action = F.when(F.col("status") == GAP, F.lit("supply or confirm")).when((F.col("status") == PASS) & (F.col("attr_status") == "confirmable"), F.lit("confirm by document"))
-    drop = ["attr_items", "req_items", "req_u", "req_n", "candidates", "_eq", "_bound", "_range", "_listed"]
+    drop = ["attr_items", "req_items", "req_u", "req_n", "candidates", "has_number", "_eq", "_bound", "_range", "_listed"]
     return rows.withColumn("status", status).withColumns({"borderline": F.coalesce((F.col("status") == PASS) & edge, F.lit(False)), "action": action}).drop(*drop)
 
 

@@ -18,6 +18,11 @@ CASES = [
     ("look-alike letters", "one_of", ["МАС"], "", "mac", "", "pass"), ("gte", "gte", 5.0, "", "7 pcs", "", "pass"), ("gte fails", "gte", 5.0, "", 4.0, "", "violation"), ("gte no number", "gte", 5.0, "", "many", "", "gap"), ("gte requirement no number", "gte", "many", "", 4.0, "", "gap"),
     ("lte list", "lte", 5.0, "", ["9", "4"], "", "pass"), ("lte unit", "lte", 5.0, "см", "40 мм", "", "pass"), ("range in", "range", ["1", "3"], "", 2.0, "", "pass"), ("range out", "range", ["1", "3"], "", 4.0, "", "violation"), ("range malformed", "range", ["1"], "", 1.0, "", "gap"),
     ("one of", "one_of", ["a", "b"], "", "B", "", "pass"), ("none of", "one_of", ["a", "b"], "", "c", "", "violation"), ("set", "set", ["a", "b"], "", ["B", "A"], "", "pass"), ("set short", "set", ["a", "b"], "", ["a"], "", "gap"),
+    ("folded unit", "gte", 5.0, "B", "5 В", "", "pass"), ("unit word", "gte", 13.0, "см", "130 миллиметр", "", "pass"), ("compound unit", "gte", 1.35, "А·ч", "1350 mAh", "", "pass"),
+    ("unit mismatch violates", "gte", 2.5, "В", "3 А", "", "violation"), ("other family violates", "gte", 2.0, "А·ч", "5 мм", "", "violation"), ("hyphened unit", "range", ["1,35", "3,5"], "Ампер-час", "1350 мАч", "", "pass"),
+    ("lte mismatch violates", "lte", 9.0, "кг", "5 мм", "", "violation"), ("range mismatch violates", "range", ["1", "9"], "кг", "5 мм", "", "violation"), ("eq scale", "eq", 1350.0, "мАч", "1.35 А·ч", "", "pass"),
+    ("no number is a gap", "gte", 2.0, "мм", "long", "", "gap"), ("scale fails", "gte", 12.0, "см", "110 мм", "", "violation"), ("sizes have no unit", "gte", 600.0, "мм", "640 x 480", "", "pass"),
+    ("size mark", "one_of", ["3"], "", "№ 3", "", "pass"), ("size word", "one_of", ["L"], "", "размер L", "", "pass"), ("size no.", "set", ["4"], "", "No.4", "", "pass"),
     ("present even denied", "present", True, "", "нет", "", "pass"), ("remapped fails softly", "eq", "wood", "", "iron", "remapped", "gap"), ("locked remap fails", "eq", "wood", "", "iron", "locked", "violation"),
 ]
 
@@ -78,6 +83,16 @@ def test_stemmer_equals_the_suffix_loop(spark):
     assert all(r.s == loop(r.w) for r in got)
 
 
+def test_stems_stops_and_variants_written_out(spark):
+    stems = {"стальным": "стальн", "перчатками": "перчатк", "изделиями": "издел", "дома": "дома", "клинок": "клинок", "резиновый": "резинов", "нитью": "нить"}
+    got = spark.createDataFrame(list(stems.items()), "w string, want string").select("w", "want", T.stem(F.col("w")).alias("s")).collect()
+    assert all(r.s == r.want for r in got), got
+    stopped = {"поставка": True, "нужды": True, "поставк": True, "товар": True, "перчатк": False, "нуждающийся": True, "стол": False}
+    got = spark.createDataFrame(list(stopped.items()), "w string, want boolean").select("w", "want", T.is_stopped(T.stem(F.col("w"))).alias("s")).collect()
+    assert all(r.s == r.want for r in got), got
+    assert spark.range(1).select(T.fleeting(F.lit("стойок"))).first()[0] == "стойк"
+
+
 def test_expressions(spark):
     row = spark.range(1).select(
         T.money(F.lit("1 234,50 ₽ 99")).alias("price"), T.money(F.lit("none")).alias("nothing"), T.local_timestamp(F.lit("05.03.2024")).cast("string").alias("late"), T.local_timestamp(F.lit("05.03.2024 08:15")).cast("string").alias("early"),
