@@ -1,4 +1,4 @@
-"""Exact duplicates of normalised texts, DataFrame operations only; dropping them from wide tables uses a bitmap."""
+"""Exact duplicates of normalised texts, DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, all columns, with one row of each group of equal texts: the smallest doc_id, once if its row repeats.
 
-    Only decisions on groups of several rows go back to the rows, which stay where they are unless they may be in one.
+    Only decisions on groups of several rows go back to the rows.
     """
     found = exact_dedup(docs.select("doc_id", "text", row_key().alias("key")), **options)
-    return settle(docs, saved(found.where("group_size > 1").select("key", "kept"), "exact_decided"))
+    return settle(docs, saved(found.where("group_size > 1").select("key", "kept"), "exact_decided"), native=True)

@@ -64,17 +64,19 @@ def may_hold(docs: DataFrame, marks: np.ndarray, key: Column) -> Column:
     return may(key)
 
 
-def settle(docs: DataFrame, decided: DataFrame) -> DataFrame:
+def settle(docs: DataFrame, decided: DataFrame, native: bool = False) -> DataFrame:
     """``docs`` (all columns) without the rows that ``decided`` (key, kept; saved, keys of :func:`row_key`) drops.
 
     Rows whose key isn't there stay; of rows that repeat a kept key, one stays. A bitmap of the keys (its
     size is bounded) lets all other rows pass where they are, so only rows that may be decided are
     shuffled, by key; the join is exact. A key's rows fall to one task: they are repeats of one row.
+    ``native`` leaves the bitmap out: DataFrame operations only, and all rows are shuffled once.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), row_key().alias("key"))
-    may = may_hold(docs, bitmap(decided.select("key")), F.col("key"))
+    may = F.lit(True) if native else may_hold(docs, bitmap(decided.select("key")), F.col("key"))
     asked = rows.where(may).join(decided.groupBy("key").agg(F.max("kept").alias("kept")), "key", "left").where("coalesce(kept, true)")
     own = F.when(F.col("kept").isNull(), F.monotonically_increasing_id())
     once = asked.withColumn("own", own).groupBy("key", "own").agg(F.first("row").alias("row"))
-    return rows.where(~may).select("row.*").unionAll(once.select("row.*"))
+    once = once.select("row.*")
+    return once if native else rows.where(~may).select("row.*").unionAll(once)

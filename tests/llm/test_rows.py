@@ -22,8 +22,13 @@ def test_settle_drops_decided_rows_and_repeats_of_kept_ones(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
     keyed = docs.withColumn("k", row_key()).select("doc_id", F.col("k").alias("key")).distinct()
     decided = saved(keyed.select("key", F.coalesce(F.col("doc_id") != 1, F.lit(False)).alias("kept")).where(~F.coalesce(F.col("key") == 0, F.lit(False))), "d")
-    got = settle(docs, decided.join(keyed.where("doc_id = 3"), "key", "left_anti"))
+    decided = saved(decided.join(keyed.where("doc_id = 3"), "key", "left_anti"), "d")
+    got = settle(docs, decided)
     assert got.columns == docs.columns
     out = sorted(map(str, (tuple(r) for r in got.collect())))
+    native = settle(docs, decided, native=True)
+    assert sorted(str(tuple(r)[:2]) for r in native.collect()) == sorted(str(tuple(r)[:2]) for r in got.collect()) and native.columns == docs.columns
+    plan = native._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
     assert len(out) == 4 and out.count("(3, 'c', None)") == 2 and "(4, 'd', 'key')" in out
     assert settle(docs.limit(0), decided).count() == 0 and settle(docs, decided.limit(0)).count() == len(rows)
