@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from bidlake.functions import text as T
 
@@ -69,14 +70,22 @@ def long_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 3))
 
 
-def code_relation(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str]) -> DataFrame:
-    """Pairs whose codes are related: rank 2 for equal positions, 1 for the same group.
+def code_sets(rows: DataFrame, on: list[str]) -> DataFrame:
+    """``on`` (unique) and ``codes``, the sorted distinct codes of a row's ``code`` or list of codes: rows with equal sets relate alike."""
+    code = F.col("code") if isinstance(rows.schema["code"].dataType, ArrayType) else F.array("code")
+    return rows.where("code is not null").select(*on, F.sort_array(F.array_distinct(code)).alias("codes"))
+
+
+def set_relation(left: DataFrame, right: DataFrame) -> DataFrame:
+    """l_codes, r_codes and rank of the related ``codes`` of two tables: 2 for equal positions, 1 for the same group.
 
     The okpd parts must be equal or one a dot-bounded ancestor of the other. Each side's codes meet the
-    other's ancestors by equi-join, so no pair is formed that isn't related. Only distinct codes take
-    part in the search; the rows come back by code at the end.
+    other's ancestors by equi-join, so no pair is formed that isn't related. Only distinct code sets take
+    part, so the result grows with the classification in use and not with the rows on either side.
     """
-    split = lambda df, side: df.select(F.col("code").alias(f"{side}_code")).distinct().withColumns(
+    sets = lambda df, side: df.select(F.col("codes").alias(f"{side}_codes")).distinct().select(f"{side}_codes", F.explode(f"{side}_codes").alias(f"{side}_code"))
+    left, right = sets(left, "l"), sets(right, "r")
+    split = lambda df, side: df.select(f"{side}_code").distinct().withColumns(
         dict(zip((f"{side}_okpd", f"{side}_pos"), T.code_parts(F.col(f"{side}_code")), strict=True))
     )
     a, b = split(left, "l"), split(right, "r")
@@ -85,46 +94,69 @@ def code_relation(left: DataFrame, right: DataFrame, left_on: list[str], right_o
     above = up(a, "l").where("at <> l_okpd").join(b.withColumn("at", F.col("r_okpd")), "at")
     rank = F.when(F.col("l_pos") == F.col("r_pos"), 2).otherwise(1)
     codes = down.unionByName(above).select("l_code", "r_code", rank.alias("rank"))
-    rows = left.withColumnRenamed("code", "l_code").join(codes, "l_code").join(right.withColumnRenamed("code", "r_code"), "r_code")
-    return rows.groupBy(*left_on, *right_on).agg(F.max("rank").alias("rank"))
+    return left.join(codes, "l_code").join(right, "r_code").groupBy("l_codes", "r_codes").agg(F.max("rank").alias("rank"))
+
 
+def related_products(products: DataFrame, positions: DataFrame) -> DataFrame:
+    """purchase_id, pos, rank, number of related products and the first of them, summed up by code set."""
+    left, right = code_sets(products, ["product_id"]), code_sets(positions, ["purchase_id", "pos"])
+    sizes = left.groupBy(F.col("codes").alias("l_codes")).agg(F.count(F.lit(1)).alias("n"), F.min("product_id").alias("first"))
+    by_set = set_relation(left, right).join(sizes, "l_codes").groupBy(F.col("r_codes").alias("codes"), "rank").agg(F.sum("n").alias("products"), F.min("first").alias("first_product"))
+    return right.join(by_set, "codes").select("purchase_id", "pos", "rank", "products", "first_product")
 
-def best_position(related: DataFrame) -> DataFrame:
-    """The best related position of each product in a lot, the lowest on ties."""
-    best = Window.partitionBy("purchase_id", "product_id").orderBy(F.desc("rank"), "pos")
-    return related.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+def best_position(products: DataFrame, positions: DataFrame) -> DataFrame:
+    """The best related position of each set of product codes (l_codes) in a lot, the lowest on ties; join :func:`code_sets` for products."""
+    right = code_sets(positions, ["purchase_id", "pos"])
+    related = right.withColumnRenamed("codes", "r_codes").join(set_relation(products, right), "r_codes")
+    best = related.groupBy("purchase_id", "l_codes").agg(F.max(F.struct("rank", (-F.col("pos")).alias("least"))).alias("best"))
+    return best.select("purchase_id", "l_codes", (-F.col("best.least")).alias("pos"), "best.rank")
 
 
 def placement(best: DataFrame, totals: DataFrame) -> DataFrame:
     """``position N of M`` in lots of more than one position."""
     text = F.concat(F.lit("position "), F.col("pos"), F.lit(" of "), F.col("total"))
-    return best.join(totals.where("total > 1"), "purchase_id").select("purchase_id", "product_id", text.alias("placement"))
+    return best.join(totals.where("total > 1"), "purchase_id").withColumn("placement", text).drop("pos", "rank", "total")
+
+
+def _shared_tokens(wanted: DataFrame, own: DataFrame, on: list[str]) -> DataFrame:
+    """``on``, tokens, product_id and overlap: shared tokens by the smaller set, of pairs that share one."""
+    a = wanted.select(*on, "tokens", F.explode("tokens").alias("t"))
+    b = own.select(*on, "product_id", F.size("tokens").alias("b"), F.explode("tokens").alias("t"))
+    shared = a.join(b, [*on, "t"]).groupBy(*on, "tokens", "product_id", "b").agg(F.count(F.lit(1)).alias("n"))
+    return shared.select(*on, "tokens", "product_id", (F.col("n").cast("double") / F.least(F.size("tokens"), "b")).alias("overlap"))
 
 
-def pick_product(related: DataFrame, products: DataFrame, wanted: DataFrame) -> DataFrame:
+def pick_product(codes: DataFrame, products: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """A product for each position: the first exact one, else the best of group relation plus name overlap.
 
-    products and wanted have ``tokens`` of their names. Candidates are the products of the code relation
-    and, for each distinct set of tokens, the one product that overlaps it most (the first on ties).
+    codes and lines have ``code``, products and wanted ``tokens`` of their names. Positions of equal codes and
+    tokens are decided once. Those with an exact product need no names; of the others' related products the
+    best by overlap counts, or the first where none shares a token, against the one product of all that
+    overlaps most (the first on ties).
     """
-    on = ["purchase_id", "pos"]
-    sets = wanted.select("tokens").distinct()
-    a = sets.select("tokens", F.explode("tokens").alias("t"))
-    b = products.select("product_id", F.size("tokens").alias("b"), F.explode("tokens").alias("t"))
-    shared = a.join(b, "t").groupBy("tokens", "product_id", "b").agg(F.count(F.lit(1)).alias("n"))
-    overlap = F.col("n").cast("double") / F.least(F.size("tokens"), "b")
-    first = shared.groupBy("tokens").agg(F.max(F.struct(overlap.alias("overlap"), (-F.col("product_id")).alias("least"))).alias("best"))
-    by_name = wanted.join(first, "tokens").select(*on, (-F.col("best.least")).alias("product_id"), F.lit(0).alias("rank"), F.col("best.overlap").alias("overlap"))
-    own = products.select("product_id", F.col("tokens").alias("own"))
-    common = F.size(F.array_intersect("own", "tokens")).cast("double")
-    near = related.join(wanted.select(*on, "tokens"), on).join(own, "product_id")
-    by_code = near.select(*on, "product_id", "rank", F.coalesce(F.try_divide(common, F.least(F.size("own"), F.size("tokens")).cast("double")), F.lit(0.0)).alias("overlap"))
-    rows = by_code.union(by_name).groupBy(*on, "product_id").agg(F.max("rank").alias("rank"), F.max("overlap").alias("overlap"))
-    exact = F.col("rank") == 2
-    worth = F.when(exact, 0.0).otherwise(F.least("rank", F.lit(1)) + F.col("overlap"))
-    best = Window.partitionBy(*on).orderBy(F.desc(exact), F.desc(worth), "product_id")
-    reason = F.when(exact, "exact").when(F.col("rank") == 1, "group").otherwise("name")
-    return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(*on, "product_id", reason.alias("reason"))
+    on, kind = ["purchase_id", "pos"], ["codes", "tokens"]
+    left, right = code_sets(codes, ["product_id"]), code_sets(lines, on)
+    sets = set_relation(left, right)
+    firsts = left.groupBy(F.col("codes").alias("l_codes")).agg(F.min("product_id").alias("product_id"))
+    by_rank = sets.join(firsts, "l_codes").groupBy(F.col("r_codes").alias("codes"), "rank").agg(F.min("product_id").alias("product_id"))
+    rows = wanted.select(*on, "tokens").join(right, on, "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    kinds = rows.select(*kind).distinct()
+    exact = kinds.join(by_rank.where("rank = 2").drop("rank"), "codes").withColumn("reason", F.lit("exact"))
+    other = kinds.join(by_rank.where("rank = 2").select("codes"), "codes", "left_anti")
+    own = products.select("product_id", "tokens").join(left.withColumnRenamed("codes", "l_codes"), "product_id")
+    near = own.join(sets.where("rank = 1").withColumnRenamed("r_codes", "codes"), "l_codes").join(other.select("codes").distinct(), "codes")
+    named = _shared_tokens(other.where(F.size("tokens") > 0), near, ["codes"]).select(*kind, "product_id", (F.col("overlap") + 1).alias("worth"), F.lit("group").alias("reason"))
+    group = other.join(by_rank.where("rank = 1").drop("rank"), "codes").select(*kind, "product_id", F.lit(1.0).alias("worth"), F.lit("group").alias("reason"))
+    first = F.max(F.struct("overlap", (-F.col("product_id")).alias("least"))).alias("best")
+    by_name = _shared_tokens(other.select("tokens").distinct(), products, []).groupBy("tokens").agg(first)
+    name = other.join(by_name, "tokens").select(*kind, (-F.col("best.least")).alias("product_id"), F.col("best.overlap").alias("worth"), F.lit("name").alias("reason"))
+    # A group product wins over a bare name of the same worth and id.
+    ahead = F.struct("worth", (-F.col("product_id")).alias("least"), (F.col("reason") == "group").alias("group"))
+    chosen = named.union(group).union(name).groupBy(*kind).agg(F.max(ahead).alias("best"))
+    reason = F.when(F.col("best.group"), "group").otherwise("name")
+    chosen = chosen.select(*kind, (-F.col("best.least")).alias("product_id"), reason.alias("reason"))
+    return rows.join(chosen.unionByName(exact), kind).select(*on, "product_id", "reason")
 
 
 def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:

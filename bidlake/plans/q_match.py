@@ -170,8 +170,7 @@ related as (
 
 @query("joi2_code_relation", f"with {B.CODES}, {RELATION} select purchase_id, pos, rank, count(*) as products, min(product_id) as first_product from related group by all")
 def _(spark, sf):
-    related = L.code_relation(B.product_codes(spark, sf), B.position_codes(spark, sf).drop("product_id"), ["product_id"], ["purchase_id", "pos"])
-    return related.groupBy("purchase_id", "pos", "rank").agg(F.count(F.lit(1)).alias("products"), F.min("product_id").alias("first_product"))
+    return L.related_products(B.product_codes(spark, sf), B.position_codes(spark, sf).drop("product_id"))
 
 
 @query(
@@ -180,8 +179,10 @@ def _(spark, sf):
     select purchase_id, pos, rank, count(*) as products from r where n = 1 group by all""",
 )
 def _(spark, sf):
-    related = L.code_relation(B.product_codes(spark, sf), B.position_codes(spark, sf).drop("product_id"), ["product_id"], ["purchase_id", "pos"])
-    return L.best_position(related).groupBy("purchase_id", "pos", "rank").agg(F.count(F.lit(1)).alias("products"))
+    sets = L.code_sets(B.product_codes(spark, sf), ["product_id"])
+    sizes = sets.groupBy(F.col("codes").alias("l_codes")).agg(F.count(F.lit(1)).alias("n"))
+    best = L.best_position(sets, B.position_codes(spark, sf).drop("product_id"))
+    return best.join(sizes, "l_codes").groupBy("purchase_id", "pos", "rank").agg(F.sum("n").alias("products"))
 
 
 @query(
@@ -198,9 +199,8 @@ def _(spark, sf):
 def _(spark, sf):
     names = B.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), L.long_tokens(F.col("p_name")).alias("tokens"))
     lines = B.position_codes(spark, sf)
-    related = L.code_relation(B.product_codes(spark, sf), lines.drop("product_id"), ["product_id"], ["purchase_id", "pos"])
     wanted = lines.select("purchase_id", "pos", "product_id").join(names, "product_id").drop("product_id")
-    return L.pick_product(related, names, wanted)
+    return L.pick_product(B.product_codes(spark, sf), names, lines.drop("product_id"), wanted)
 
 
 @query(
@@ -231,8 +231,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     codes = B.position_codes(spark, sf).drop("product_id")
-    related = L.code_relation(B.product_codes(spark, sf), codes, ["product_id"], ["purchase_id", "pos"])
-    return L.placement(L.best_position(related), codes.groupBy("purchase_id").agg(F.countDistinct("pos").alias("total")))
+    sets = L.code_sets(B.product_codes(spark, sf), ["product_id"])
+    placed = L.placement(L.best_position(sets, codes), codes.groupBy("purchase_id").agg(F.countDistinct("pos").alias("total")))
+    return placed.join(sets.withColumnRenamed("codes", "l_codes"), "l_codes").select("purchase_id", "product_id", "placement")
 
 
 @query(
