@@ -195,6 +195,41 @@ def test_crf_learns_lines_and_context():
     assert right > alone + 0.03
 
 
+def test_latent_lines_mix_within_documents():
+    rng = random.Random(6)
+    prose = lambda: " ".join(rng.choice(["stone", "river", "of", "walking", "green"]) for _ in range(rng.randint(9, 18))) + "."
+    menu = lambda: " | ".join(rng.choice(["home", "shop", "help", "news"]) for _ in range(rng.randint(3, 7)))
+    texts = []
+    for i in range(400):
+        kinds = [1] * rng.randint(6, 9) + [0] * rng.randint(0, 3) if i % 2 else [0] * rng.randint(6, 9) + [1] * rng.randint(0, 2)
+        rng.shuffle(kinds)
+        texts.append((kinds, "\n".join(prose() if k else menu() for k in kinds), i % 2))
+    parts = [quality_rules.line_features(t) for _, t, _ in texts]
+    emit_w, move = quality_rules.fit_latent([x for x, _ in parts[:200]], [n for _, n in parts[:200]], [y for *_, y in texts[:200]])
+    paths = [quality_rules.viterbi(x @ emit_w, move) for x, _ in parts[200:]]
+    right = np.concatenate([p == np.array(k) for p, (k, *_) in zip(paths, texts[200:], strict=True)])
+    assert right.mean() > 0.95  # the lines' kinds are never shown, only the documents' labels
+    mixed = np.mean([len(set(p)) == 2 for p, (k, *_) in zip(paths, texts[200:], strict=True) if len(set(k)) == 2])
+    assert mixed > 0.9
+    for x, n in parts[:50]:
+        for label in (0, 1):
+            y = quality_rules._settled(x @ emit_w, move, n, label, 0.5)
+            assert (n[y == 1].sum() >= 0.5 * n.sum()) == (label == 1)
+
+
+def test_training_takes_long_documents_in_runs_and_no_rows(spark):
+    long = "\n".join(" ".join(f"word{i}x{k}" for k in range(11)) for i in range(1000))
+    docs = spark.createDataFrame([(1, long, "x"), (2, "a | b | c", "y"), (None, None, "z")], "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    sample, _ = quality_rules.labelled_sample(docs, labels, "quality", F.lit(True), 10)
+    runs = quality_rules.training_sequences(sample, 64).where("label = 1").collect()
+    assert sorted(r["at"] for r in runs) == list(range(0, 1000, 64)) and sum(len(r["words"]) // 8 for r in runs) == 1000
+    rules = quality_rules.train(docs, labels)
+    assert {r.doc_id: r.kept for r in quality_rules.apply_rules(docs, *rules).collect()} == {1: True, 2: False, None: False}
+    empty = docs.where("false")
+    assert quality_rules.apply_rules(empty, *quality_rules.train(empty, labels.where("false"))).count() == 0
+
+
 def test_rules_on_the_given_tables(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     extra = spark.createDataFrame([(None, "null id " * 12), (5_000_000, None), (5_000_001, "")], "doc_id long, text string")
