@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from bidlake.llm.mixing import mix, mixed, probabilities, rake, tempered
@@ -91,3 +92,21 @@ def test_given_targets_stay_exact_without_a_budget(spark):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") % 10 == 0, "de").otherwise("en").alias("lang"))
     got = mix(docs, targets={"lang": {"de": 0.5, "en": 0.5}}).toPandas().groupby("lang")["probability"].first()
     assert abs(got["de"] - 1) < 1e-9 and abs(got["en"] - 1 / 9) < 1e-6
+
+
+def test_cells_raked_as_a_table_get_the_same_probabilities(spark):
+    docs = spark.createDataFrame(
+        [(i, f"{'w ' * (i % 17 + 1)}{'|' if i % 3 else ' | '}", None if i % 11 == 0 else f"s{i * i % 7}", "en" if i % 4 else "de") for i in range(400)],
+        "doc_id long, text string, source string, lang string",
+    )
+    targets = {"source": {**{f"s{i}": 1.0 + i for i in range(6)}, None: 2.0}, "lang": {"en": 0.6, "de": 0.4}}
+    for options in ({}, {"targets": targets}, {"targets": targets, "budget": 900.0}):
+        here, there = (mix(docs, driver_cells=n, **options).orderBy("doc_id").collect() for n in (100, 1))
+        assert [(r.doc_id, r.kept) for r in here] == [(r.doc_id, r.kept) for r in there]
+        assert len(there) == 400 and max(abs(a.probability - b.probability) for a, b in zip(here, there, strict=True)) < 1e-6
+
+
+def test_contradicting_targets_are_reported():
+    cells = pd.DataFrame({"source": ["a", "b"], "lang": ["x", "y"], "tokens": [5, 5]})
+    with pytest.warns(UserWarning, match="off by"):
+        rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}})
