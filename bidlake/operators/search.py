@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.functions import text as T
+from bidlake.functions.shared import saved
 
 # Stages in which an offer can still be made, and the one that ends a listing.
 SUBMITTABLE, COMPLETED = ("O",), "F"
@@ -131,15 +132,42 @@ def feed_order(mode: str, now: Column) -> list[Column]:
     return [*head[mode], *tail]
 
 
-def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """A page in the given order, with the total; a number beyond the pages gives the last one."""
+def ranked(rows: DataFrame, order: list[Column], start: int, size: int) -> DataFrame:
+    """The rows at places ``start`` to ``start + size - 1`` of a total order, sorted, at any depth.
+
+    Rows are written in ranges of the order; the ranges' counts, one row each, tell which ranges hold the
+    places, and only those are numbered, each by itself. No task sees more than a range.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = saved(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranked")
+    before, first = 0, {}
+    for r in sorted(parts.groupBy("_range").count().collect()):
+        if before < start + size and before + r["count"] > start:
+            first[r["_range"]] = before
+        before += r["count"]
+    if not first:
+        return rows.limit(0)
+    offset = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("_range")]
+    place = offset + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    held = parts.where(F.col("_range").isin(list(first))).withColumn("_place", place)
+    return held.where(F.col("_place").between(start, start + size - 1)).drop("_range", "_place").orderBy(*order)
+
+
+def page(rows: DataFrame, order: list[Column], number: int, size: int, one_task: int = 10_000) -> DataFrame:
+    """A page in the given order, with the total; a number beyond the pages gives the last one.
+
+    Pages that end within ``one_task`` rows come from a top-n, deeper ones from :func:`ranked`.
+    """
     total = rows.count()
     number = min(max(1, number), max(1, -(-total // size)))
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", F.lit(total))
+    start = (number - 1) * size
+    found = ranked(rows, order, start, size) if start + size > one_task else rows.orderBy(*order).offset(start).limit(size)
+    return found.withColumn("total", F.lit(total))
 
 
-def nearest(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    return rows.orderBy(*order).limit(n)
+def nearest(rows: DataFrame, n: int, order: list[Column], one_task: int = 10_000) -> DataFrame:
+    """The first ``n`` rows: a top-n up to ``one_task`` rows, by :func:`ranked` beyond."""
+    return ranked(rows, order, 0, n) if n > one_task else rows.orderBy(*order).limit(n)
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

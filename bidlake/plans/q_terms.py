@@ -210,16 +210,32 @@ def _(spark, sf):
     return _sims(spark, sf, 0.3).where("query <> item").withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
-@query("joi10_name_pairs", f"with {SIMS} select least(query, item) as a, greatest(query, item) as b, max(sim) as sim from sims where query <> item and sim >= 0.32 and query % 7 <> item % 7 group by all")
+PAIRS = "pairs as (select x.vec_id as a, y.vec_id as b, round(list_dot_product(x.embedding::double[], y.embedding::double[]), 6) as sim from embeddings x join embeddings y on x.vec_id < y.vec_id)"
+#: Edges both ways to the nodes that each node reaches, and the smallest of them.
+REACH = "r(node, seen) as (select distinct a, a from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as component from r group by 1"
+
+
+def _pairs(spark, sf, least):
+    return M.similar_pairs(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), least)
+
+
+def _name_pairs(spark, sf):
+    return _pairs(spark, sf, 0.32).where("a % 7 <> b % 7")
+
+
+@query("joi10_name_pairs", f"with {PAIRS} select a, b, sim from pairs where sim >= 0.32 and a % 7 <> b % 7")
+def _(spark, sf):
+    return _name_pairs(spark, sf)
+
+
+@query("agg18_components", f"with recursive {PAIRS}, e as (select a, b from pairs where sim >= 0.3 union all select b, a from pairs where sim >= 0.3), {REACH}")
 def _(spark, sf):
-    rows = _sims(spark, sf, 0.32).where("query <> item and query % 7 <> item % 7")
-    return rows.groupBy(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b")).agg(F.max("sim").alias("sim"))
+    return M.mined_groups(_pairs(spark, sf, 0.3))
 
 
-@query("agg18_components", f"""with recursive {SIMS}, e as (select query as a, item as b from sims where query <> item and sim >= 0.3 union select item, query from sims where query <> item and sim >= 0.3),
-  r(node, seen) as (select distinct a, a from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as component from r group by 1""")
+@query("job8_synonym_groups", f"with recursive {PAIRS}, n as (select a, b from pairs where sim >= 0.32 and a % 7 <> b % 7), e as (select a, b from n union all select b, a from n), {REACH}")
 def _(spark, sf):
-    return M.mined_groups(_sims(spark, sf, 0.3).where("query <> item").select(F.col("query").alias("a"), F.col("item").alias("b")))
+    return M.mined_groups(_name_pairs(spark, sf))
 
 
 @query("joi7_align_keys", """select p_partkey as pair, w.key, case w.key when 'Size of Part' then 'part size of' else 'brand' end as card_key from part, (values ('Size of Part'), ('maker')) w(key)""")
