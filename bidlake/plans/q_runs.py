@@ -27,7 +27,7 @@ def _events(spark, sf):
 
 
 HALVES = """old as (select id, customer, case when id % 7 = 0 then '' else region end as region, price, end_ts, TIMESTAMP '1998-04-01' as seen_at from listings where id % 3 <> 0),
-fresh as (select id, customer, case when id % 5 = 0 then '' else source end as region, price + 1 as price, end_ts from listings where id % 2 = 0)"""
+fresh as (select id, customer, case when id % 5 = 0 then '' else source end as region, price + 1 as price, end_ts from listings where id % 2 = 0 or id % 3 = 0)"""
 STORE = f"""{B.LISTINGS}, {HALVES}, store as (select coalesce(f.id, o.id) as id, coalesce(f.customer, o.customer) as customer,
   case when f.id is not null and coalesce(f.region, '') <> '' then f.region else o.region end as region, case when f.id is not null then f.price else o.price end as price,
   case when f.id is not null then f.end_ts else o.end_ts end as end_ts, case when f.id is not null then {NOW} else o.seen_at end as seen_at, f.id is not null and o.id is null as is_new from old o full join fresh f on o.id = f.id)"""
@@ -36,7 +36,7 @@ STORE = f"""{B.LISTINGS}, {HALVES}, store as (select coalesce(f.id, o.id) as id,
 def _store(spark, sf):
     rows = B.listings(spark, sf)
     old = rows.where("id % 3 <> 0").select("id", "customer", F.when(F.col("id") % 7 == 0, "").otherwise(F.col("region")).alias("region"), "price", "end_ts", F.lit("1998-04-01").cast("timestamp_ntz").alias("seen_at"))
-    fresh = rows.where("id % 2 = 0").select("id", "customer", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("source")).alias("region"), (F.col("price") + 1).alias("price"), "end_ts")
+    fresh = rows.where("id % 2 = 0 or id % 3 = 0").select("id", "customer", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("source")).alias("region"), (F.col("price") + 1).alias("price"), "end_ts")
     return W.accumulate(old, fresh, B.now(), ["region"])
 
 
@@ -106,12 +106,11 @@ def _(spark, sf):
     return W.expiry_notices(rows, rows.where("account % 10 = 3").select("account", "expires"), B.now()).select("account", "plan", "expires")
 
 
-LEDGER = "ledger as (select law, cast(begin_ts as date) as day, max(id) as swept_at, count(*) as got, cast(1 + count(*) % 5 as integer) as page, max(id) % 3 = 0 as done from listings where begin_ts >= TIMESTAMP '1998-05-01' and begin_ts < TIMESTAMP '1998-06-01' and id % 4 = 0 group by all)"
+LEDGER = "ledger as (select law, cast(begin_ts as date) as day, max(id) as swept_at, count(*) as got, cast(1 + count(*) % 5 as integer) as page, max(id) % 3 = 0 as done from listings group by all)"
 
 
 def _ledger(spark, sf):
-    rows = B.listings(spark, sf).where("begin_ts >= timestamp_ntz '1998-05-01' and begin_ts < timestamp_ntz '1998-06-01' and id % 4 = 0")
-    return rows.groupBy("law", F.to_date("begin_ts").alias("day")).agg(F.max("id").alias("swept_at"), F.count(F.lit(1)).alias("got")).select("law", "day", "swept_at", "got", (1 + F.col("got") % 5).cast("int").alias("page"), (F.col("swept_at") % 3 == 0).alias("done"))
+    return B.listings(spark, sf).groupBy("law", F.to_date("begin_ts").alias("day")).agg(F.max("id").alias("swept_at"), F.count(F.lit(1)).alias("got")).select("law", "day", "swept_at", "got", (1 + F.col("got") % 5).cast("int").alias("page"), (F.col("swept_at") % 3 == 0).alias("done"))
 
 
 @query("str9_backfill_slices", f"with {B.LISTINGS}, {LEDGER}, live as (select law, back, cast(DATE '1998-06-01' - back as date) as day from (values ('44'), ('223')) l(law), (select cast(unnest(range(1, 22)) as integer) as back)) select law, day::varchar as day, coalesce(page, 1) as page from live left join ledger using (law, day) where not coalesce(done, false) order by coalesce(swept_at, -1), back, law limit 15")
@@ -129,26 +128,26 @@ def _(spark, sf):
     return W.ledger_stats(_ledger(spark, sf))
 
 
-POOLS = "pools as (select id, 0 as pool, price from listings where id % 4 = 0 union all select id, 1, price + 1 from listings where id % 6 = 0 union all select id, 2, price + 2 from listings where id % 5 = 0)"
+POOLS = "pools as (select id, 0 as pool, price from listings where id % 4 = 0 union all select id, 1, price + 1 from listings where id % 6 = 0 union all select id, 2, price + 2 from listings where id % 4 > 0)"
 
 
 @query("rnk18_first_seen", f"with {B.LISTINGS}, {POOLS} select id, pool, price from (select *, row_number() over (partition by id order by pool) as n from pools) where n = 1")
 def _(spark, sf):
     rows = B.listings(spark, sf).select("id", "price")
-    return W.first_seen([rows.where("id % 4 = 0"), rows.where("id % 6 = 0").withColumn("price", F.col("price") + 1), rows.where("id % 5 = 0").withColumn("price", F.col("price") + 2)], "id", ["id"])
+    return W.first_seen([rows.where("id % 4 = 0"), rows.where("id % 6 = 0").withColumn("price", F.col("price") + 1), rows.where("id % 4 > 0").withColumn("price", F.col("price") + 2)], "id", ["id"])
 
 
 @query("str8_discovery", f"with {B.LISTINGS}, {POOLS} select distinct id from pools where id % 7 <> 0")
 def _(spark, sf):
     rows = B.listings(spark, sf).select("id", "price")
-    found = W.first_seen([rows.where("id % 4 = 0"), rows.where("id % 6 = 0"), rows.where("id % 5 = 0")], "id", ["id"])
+    found = W.first_seen([rows.where("id % 4 = 0"), rows.where("id % 6 = 0"), rows.where("id % 4 > 0")], "id", ["id"])
     return found.join(rows.where("id % 7 = 0"), "id", "left_anti").select("id")
 
 
 @query("set1_union_sources", f"with {B.LISTINGS}, {POOLS} select pool, count(*) as n from pools group by 1")
 def _(spark, sf):
     rows = B.listings(spark, sf).select("id", "price")
-    parts = [rows.where("id % 4 = 0").withColumn("pool", F.lit(0)), rows.where("id % 6 = 0").drop("price").withColumn("pool", F.lit(1)), rows.where("id % 5 = 0").withColumn("pool", F.lit(2))]
+    parts = [rows.where("id % 4 = 0").withColumn("pool", F.lit(0)), rows.where("id % 6 = 0").drop("price").withColumn("pool", F.lit(1)), rows.where("id % 4 > 0").withColumn("pool", F.lit(2))]
     return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2]).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -76,12 +76,12 @@ def _(spark, sf):
     return X.fall_through(_attachments(spark, sf).select(F.col("page_id").alias("id"), F.col("n").alias("place"), F.col("uid").alias("name"), kind.alias("status")))
 
 
-SPEC = "rows as (select conv_id as doc, turn as row_no, case when role = 'user' then substr(coalesce(text, ''), 1, 12) else '' end as name, length(coalesce(text, '')) % 6 || '' as key from conversations)"
+SPEC = "rows as (select conv_id as doc, turn as row_no, case when role = 'user' then coalesce(text, '') else '' end as name, length(coalesce(text, '')) % 6 || '' as key from conversations)"
 
 
 def _spec(spark, sf):
     text = F.coalesce("text", F.lit(""))
-    return B.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("row_no"), F.when(F.col("role") == "user", F.substring(text, 1, 12)).otherwise("").alias("name"), (F.length(text) % 6).cast("string").alias("key"))
+    return B.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("row_no"), F.when(F.col("role") == "user", text).otherwise("").alias("name"), (F.length(text) % 6).cast("string").alias("key"))
 
 
 @query("rnk5_forward_fill", f"with {SPEC}, p as (select *, sum((name <> '')::int) over (partition by doc order by row_no) as pos from rows) select doc, row_no, pos::bigint as pos, first_value(name) over (partition by doc, pos order by row_no) as name from p where pos > 0")
