@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_sum(rows: DataFrame, order: list[Column], value: Column, name: str = "place") -> DataFrame:
+    """``rows`` with the running sum of ``value`` (a long) over a total order, the row itself included; of ones it is the place.
+
+    Rows are written in ranges of the order, the ranges' sums give what lies before each, and the rest is summed
+    within a range: no task sees more than one. The driver takes one sum a range. Rows that the order doesn't
+    tell apart share a range, so a column that does should end it.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = saved(rows.repartitionByRange(ranges, *order).withColumns({"_range": F.spark_partition_id(), "_value": value.cast("long")}), "ranges")
+    sums, before = [], 0
+    for r in sorted(parts.groupBy("_range").agg(F.sum("_value").alias("own")).collect()):
+        sums.append((r["_range"], before))
+        before += r["own"] or 0
+    offsets = rows.sparkSession.createDataFrame(sums, "_range int, _before long")
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.sum("_value").over(within))
+    return summed.select(*rows.columns, name)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """Components of an undirected graph: ``(node, component)`` with the smallest node of each.
 
