@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -35,13 +36,23 @@ RUSSIAN = LanguagePack(
     fleeting=r"^(.+[бвгджзйклмнпрстфхцчшщ])[оеё]к$",
     measured="а-яё",
 )
-LATIN = LanguagePack(letters="a-zß-öø-ÿ", endings=("ings", "ing", "ed", "es", "s"), stop_prefixes=("licen", "versi"), fleeting=None, measured="a-z")
+LATIN = LanguagePack(letters="a-zß-öø-ÿ", endings=("ings", "ing", "ed", "es", "s"), stop_prefixes=("licen", "versi"), fleeting=None, measured="а-яё")
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it: keeps expressions built in steps from growing by every step."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space at either end, no-break spaces included."""
+    return F.regexp_replace(c, r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")
+
+
 def strip_tags(c: Column) -> Column:
     """Text of an HTML fragment: span tags vanish, other tags separate, entities decoded with & last."""
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)</?span[^>]*>", ""), r"<[^>]*>", " ")

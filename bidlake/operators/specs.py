@@ -7,48 +7,44 @@ from pyspark.sql import functions as F
 
 from bidlake.functions import text as T
 
+# Fixed values that must equal the reference's: roles of a specification table's columns and the patterns of their headers, in the order they are tried.
+ROLES = (
+    ("charName", r"наименование\s+характеристик|требуемый\s+параметр|^характеристик"),
+    ("charValue", r"значение\s+характеристик|требуемое\s+значение|^значение"),
+    ("unit", r"ед\.?\s*изм|единиц[аы]\s+измерения"),
+    ("qty", "кол-?во|количество"),
+    ("hardness", "инструкц"),
+    ("name", r"наименование|товар|объект\s+закупки"),
+    ("code", r"ктру|код\s+позиции|окпд"),
+)
 
-def operator_of(text: Column) -> Column:
-    """(operator, text) of a characteristic's cell: presence, range before single bounds, one number, else text."""
-    low = F.lower(F.trim(text))
-    n = F.size(T.numbers(text))
-    op = (
-        F.when(low.rlike("^(есть|наличие|да|yes|present)$"), "present")
-        .when(low.rlike(r"\d\s*(-|–|\.\.)\s*\d") | (F.contains(low, F.lit("от ")) & F.contains(low, F.lit(" до "))), "range")
-        .when(low.rlike("^(≥|>=|не менее|от |at least)"), "gte")
-        .when(low.rlike("^(≤|<=|не более|до |at most)"), "lte")
-        .when(n == 1, "eq_number")
-        .otherwise("eq_text")
-    )
-    return op
-
-
-def hardness_of(instruction: Column) -> Column:
-    return F.when(F.lower(instruction).rlike("не может изменять|неизменн|fixed"), "hard").otherwise("soft")
-
-
-# Header words of the columns of a specification table, in the order they are claimed.
-ROLES = (("name", "наименование товара|наименование объекта|product"), ("char", "характеристик|показател|parameter"), ("value", "значение|value"), ("unit", "единиц|unit"), ("code", "код|code"), ("qty", "количеств|quantity"))
-
-
-def header_roles(rows: DataFrame) -> DataFrame:
-    """Header cells to column roles: doc, table_no, row_no, role, col. Each role goes to the first cell that fits."""
-    cells = rows.where("row_no < 3").select("doc", "table_no", "row_no", F.posexplode("cells").alias("col", "cell"))
-    role = F.lit(None).cast("string")
-    for name, pattern in reversed(ROLES):
-        role = F.when(F.lower("cell").rlike(pattern), name).otherwise(role)
-    w = Window.partitionBy("doc", "table_no", "row_no", "role").orderBy("col")
-    return cells.withColumn("role", role).where("role is not null").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "cell")
-
-
-def pick_table(rows: DataFrame) -> DataFrame:
-    """The specification table of each document: a header with name and code or characteristic, most body rows, the first on ties."""
-    heads = header_roles(rows).groupBy("doc", "table_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("role", "col"))).alias("roles"))
-    good = heads.where(F.map_contains_key("roles", F.lit("name")) & (F.map_contains_key("roles", F.lit("code")) | F.map_contains_key("roles", F.lit("char"))))
-    first = good.groupBy("doc", "table_no").agg(F.min_by("roles", "row_no").alias("roles"), F.min("row_no").alias("header"))
-    sizes = rows.join(first, ["doc", "table_no"]).where("row_no > header").groupBy("doc", "table_no").agg(F.count(F.lit(1)).alias("body"))
+
+def column_roles(cells: Column, roles: tuple = ROLES) -> Column:
+    """Role to column number of a header row. Cells claim roles from left to right: each the first that fits and isn't taken yet."""
+    claimed = F.array().cast("array<struct<role:string,col:int>>")
+
+    def claim(acc: Column, cell: Column) -> Column:
+        fits = [F.when(cell["text"].rlike(pattern) & ~F.exists(acc, lambda x, role=role: x["role"] == role), F.struct(F.lit(role).alias("role"), cell["col"].alias("col"))) for role, pattern in roles]
+        own = F.array_compact(F.array(*fits))
+        return F.concat(acc, F.slice(own, 1, 1))
+
+    texts = F.transform(cells, lambda c, i: F.struct(T.plain(F.translate(F.coalesce(c, F.lit("")), "\u00a0", " ")).alias("text"), i.alias("col")))
+    return F.map_from_entries(F.aggregate(texts, claimed, claim))
+
+
+def pick_table(rows: DataFrame, roles: tuple = ROLES) -> DataFrame:
+    """doc, table_no, roles, header, body: the specification table of each document, the one of most rows below its header, the first on ties.
+
+    rows: doc, table_no, row_no, cells. The header is the first of the first three rows that names a product and a
+    code or a characteristic; it tells a specification from longer tables of another kind.
+    """
+    heads = rows.where("row_no < 3").select("doc", "table_no", "row_no", column_roles(F.col("cells"), roles).alias("roles"))
+    has = lambda role: F.map_contains_key("roles", F.lit(role))
+    first = heads.where(has("name") & (has("code") | has("charName"))).groupBy("doc", "table_no").agg(F.min_by("roles", "row_no").alias("roles"), F.min("row_no").alias("header"))
+    sizes = rows.groupBy("doc", "table_no").agg(F.max("row_no").alias("last"), F.count(F.lit(1)).alias("n"))
+    sized = first.join(sizes.where("n >= 2"), ["doc", "table_no"]).withColumn("body", F.col("last") - F.col("header"))
     best = Window.partitionBy("doc").orderBy(F.desc("body"), "table_no")
-    return first.join(sizes, ["doc", "table_no"]).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    return sized.withColumn("n", F.row_number().over(best)).where("n = 1").select("doc", "table_no", "roles", "header", "body")
 
 
 def fill_positions(rows: DataFrame) -> DataFrame:

@@ -149,13 +149,15 @@ position_codes as (select purchase_id, pos, product_id, {_code_sql('cast(l_quant
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings with text: id, title (the text on one line), lang, source, text."""
+    """Listings with text: id, title (the text on one line), lots, lang, source, and the text with measures and numbers of the row's own."""
     docs = table(spark, sf_dir, "documents")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").alias("id"), F.replace(text, F.lit("\n"), F.lit(" ")).alias("title"), "lang", "source", text.alias("text"))
+    text, id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id")
+    measures = F.concat_ws(" ", F.concat(F.lit("≥ "), id % 900, F.lit(","), id % 7, F.lit("  мм;")), F.concat(id % 50, F.lit("-"), id % 50 + 5, F.lit(" Шт,")), F.concat(id % 30 + 2000, F.lit(" г.")), F.concat(id + 1_000_000, F.lit(" кг")), F.concat(id % 400, F.lit(" метров")))
+    return docs.select(id.alias("id"), F.replace(text, F.lit("\n"), F.lit(" ")).alias("title"), F.concat(F.coalesce("source", F.lit("")), F.lit(" lots")).alias("lots"), "lang", "source", F.concat_ws(" ", text, measures).alias("text"))
 
 
-TEXTS = "texts as (select doc_id as id, replace(coalesce(text, ''), chr(10), ' ') as title, lang, source, coalesce(text, '') as text from documents)"
+TEXTS = """texts as (select doc_id as id, replace(coalesce(text, ''), chr(10), ' ') as title, coalesce(source, '') || ' lots' as lots, lang, source,
+  coalesce(text, '') || ' ≥ ' || (doc_id % 900) || ',' || (doc_id % 7) || '  мм; ' || (doc_id % 50) || '-' || (doc_id % 50 + 5) || ' Шт, ' || (doc_id % 30 + 2000) || ' г. ' || (doc_id + 1000000) || ' кг ' || (doc_id % 400) || ' метров' as text from documents)"""
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

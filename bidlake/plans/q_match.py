@@ -185,17 +185,17 @@ def _(spark, sf):
     return best.join(sizes, "l_codes").groupBy("purchase_id", "pos", "rank").agg(F.sum("n").alias("products"))
 
 
-@query(
-    "joi4_pick_product",
-    f"""with {B.CODES}, {RELATION},
+PICKS = f"""{B.CODES}, {RELATION},
     names as (select p_partkey as product_id, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 3)) as toks from part),
     lines as (select purchase_id, pos, product_id as own, toks from position_codes join names using (product_id)),
     cand as (select purchase_id, pos, product_id, rank, 0.0::double as overlap from related
       union all select l.purchase_id, l.pos, n.product_id, 0, len(list_intersect(l.toks, n.toks))::double / least(len(l.toks), len(n.toks)) from lines l join names n on len(list_intersect(l.toks, n.toks)) > 0),
     best as (select purchase_id, pos, product_id, max(rank) as rank, max(overlap) as overlap from cand group by all),
-    r as (select *, row_number() over (partition by purchase_id, pos order by (rank = 2) desc, case when rank = 2 then 0 else least(rank, 1) + overlap end desc, product_id) as n from best)
-    select purchase_id, pos, product_id, case when rank = 2 then 'exact' when rank = 1 then 'group' else 'name' end as reason from r where n = 1""",
-)
+    r as (select *, row_number() over (partition by purchase_id, pos order by (rank = 2) desc, case when rank = 2 then 0 else least(rank, 1) + overlap end desc, product_id) as n from best),
+    picks as (select purchase_id, pos, product_id, case when rank = 2 then 'exact' when rank = 1 then 'group' else 'name' end as reason from r where n = 1)"""
+
+
+@query("joi4_pick_product", f"with {PICKS} select * from picks")
 def _(spark, sf):
     names = B.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), L.long_tokens(F.col("p_name")).alias("tokens"))
     lines = B.position_codes(spark, sf)

@@ -55,25 +55,25 @@ uids as (select *, regexp_extract(a, 'href="/([^"]+)"', 1) as uid from anchors),
 docs as (select page_id, uid, place, row_number() over (partition by page_id order by place) as n from named where k = 1)"""
 
 
-def _attachments(spark, sf):
+def attachments(spark, sf):
     return X.extract_attachments(_pages(spark, sf), 'href="/([^"]+)"')
 
 
 @query("src6_attachments", f"with {ANCHORS} select page_id, n, uid from docs where n <= 20")
 def _(spark, sf):
-    return _attachments(spark, sf).select("page_id", F.col("n").cast("long").alias("n"), "uid")
+    return attachments(spark, sf).select("page_id", F.col("n").cast("long").alias("n"), "uid")
 
 
 @query("flt14_hopeful_attachments", f"with {ANCHORS} select page_id, uid from docs where n <= 20 and (regexp_matches(lower(uid), '[.]docx$') or not regexp_matches(uid, '[.][A-Za-z0-9]{{2,4}}$'))")
 def _(spark, sf):
-    return _attachments(spark, sf).where(X.hopeful_attachment(F.col("uid"))).select("page_id", "uid")
+    return attachments(spark, sf).where(X.hopeful_attachment(F.col("uid"))).select("page_id", "uid")
 
 
 @query("rnk10_fall_through", f"""with {ANCHORS}, c as (select page_id as id, n as place, uid as name, case when length(uid) % 3 = 0 then 'ok' when length(uid) % 3 = 1 then 'empty' else 'error' end as status from docs where n <= 4)
   select id, coalesce(arg_min(name, place) filter (status = 'ok'), arg_max(name, place)) as name, coalesce(min(status) filter (status = 'ok'), arg_max(status, place)) as status from c group by id""")
 def _(spark, sf):
     kind = F.when(F.length("uid") % 3 == 0, "ok").when(F.length("uid") % 3 == 1, "empty").otherwise("error")
-    return X.fall_through(_attachments(spark, sf).select(F.col("page_id").alias("id"), F.col("n").alias("place"), F.col("uid").alias("name"), kind.alias("status")))
+    return X.fall_through(attachments(spark, sf).select(F.col("page_id").alias("id"), F.col("n").alias("place"), F.col("uid").alias("name"), kind.alias("status")))
 
 
 SPEC = "rows as (select conv_id as doc, turn as row_no, case when role = 'user' then coalesce(text, '') else '' end as name, length(coalesce(text, '')) % 6 || '' as key from conversations)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidlake.functions import text as T
+from bidlake.functions.shared import saved
 from bidlake.operators import terms as M
 from bidlake.plans import bindings as B
 
@@ -13,8 +14,12 @@ P = T.LATIN
 STEM = "regexp_replace({}, '^(.{{4,}}?)(" + "|".join(P.endings) + ")$', '\\1')"
 STOPS = ", ".join(f"'{s}'" for s in P.stop_prefixes)
 WORDS = f"words as (select id, source, unnest(regexp_extract_all(lower(text), '[{P.letters}0-9]+')) as word from texts)"
-TERMS = f"""{B.TEXTS}, {WORDS}, counts as (select id, {STEM.format('word')} as term, count(*) as tf from words
-  where not regexp_full_match(word, '[0-9]+') and length(word) >= 3 and substr(word, 1, 5) not in ({STOPS}) group by all),
+JUNK = "(?:19|20)[0-9]{2}\\s*г$|^(?:19|20)[0-9]{2}$|[0-9]{6,}"
+#: A number with its unit ends before anything but a letter; what ends it is matched, too, and can't begin the next one here.
+MEASURED = f"((?:[≥≤=<>]\\s*)?(?:[0-9]+(?:[.,][0-9]+)?\\s*[-–—]\\s*)?[0-9]+(?:[.,][0-9]+)?\\s*(?:{M.UNITS}))(?:[^а-яёa-z]|$)"
+TERMS = f"""{B.TEXTS}, {WORDS}, terms as (select id, trim(regexp_replace(unnest(regexp_extract_all(lower(text), '{MEASURED}', 1)), '\\s+', ' ', 'g')) as term from texts
+  union all select id, {STEM.format('word')} from words where length(word) >= 4 and substr({STEM.format('word')}, 1, 5) not in ({STOPS})),
+counts as (select id, term, count(*) as tf from terms where not regexp_matches(term, '{JUNK}') group by all),
 dfs as (select term, count(*) as df, ln(((select count(distinct id) from counts) + 1) / (count(*) + 1)::double) as idf from counts group by 1),
 subj as (select id, term, weight, n from (select id, term, round(tf * idf, 9) as weight, row_number() over (partition by id order by round(tf * idf, 9) desc, term) as n
   from counts join dfs using (term) where length(term) >= 5 and not regexp_matches(term, '[0-9]')) where n <= 8)"""
@@ -34,6 +39,11 @@ def _counts(spark, sf):
     return M.term_counts(B.texts(spark, sf), "text", P)
 
 
+def _kept_counts(spark, sf):
+    """The counts as a written table, for queries that read them more than once."""
+    return saved(_counts(spark, sf), "term_counts")
+
+
 @query("agg10_term_frequency", f"with {TERMS} select id, count(*) as terms, sum(tf)::bigint as tokens, max(tf) as most from counts group by 1")
 def _(spark, sf):
     return _counts(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("most"))
@@ -41,41 +51,44 @@ def _(spark, sf):
 
 @query("agg11_document_frequency", f"with {TERMS} select term, df, round(idf, 9) as idf from dfs where df > 1")
 def _(spark, sf):
-    return M.idf(_counts(spark, sf)).where("df > 1").select("term", "df", F.round("idf", 9).alias("idf"))
+    return M.idf(_kept_counts(spark, sf)).where("df > 1").select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("rnk2_subject_terms", f"with {TERMS} select id, term, n from subj")
 def _(spark, sf):
-    c = _counts(spark, sf)
+    c = _kept_counts(spark, sf)
     return M.subject_terms(c, M.idf(c), 8).select("id", "term", F.col("n").cast("long").alias("n"))
 
 
-@query("rnk1_split_budget", f"""with {TERMS}, m as (select *, regexp_matches(term, '[0-9]') and regexp_matches(term, '[a-z]|%') as measured from counts where length(term) <= 24 and not regexp_matches(term, '[0-9]{{5}}')),
-  r as (select *, row_number() over (partition by id, measured order by case when measured then 0 else -tf end, length(term) desc, term) as n, sum(measured::int) over (partition by id) as m, sum((not measured)::int) over (partition by id) as w from m)
-  select id, term, measured, n from r where n <= case when measured then least(m, greatest(10, 20 - w)) else 20 - least(m, greatest(10, 20 - w)) end""")
+SPLIT = f"""{TERMS}, m as (select *, regexp_matches(term, '[0-9]') and regexp_matches(term, '[{P.measured}]|%') as measured from counts where length(term) <= 24 and not regexp_matches(term, '^[0-9]{{5,}}$')),
+  ms as (select *, row_number() over (partition by id, measured order by case when measured then 0 else -tf end, length(term) desc, term) as n, sum(measured::int) over (partition by id) as m, sum((not measured)::int) over (partition by id) as w from m),
+  split as (select id, term, measured, n from ms where n <= case when measured then least(m, greatest(10, 20 - w)) else 20 - least(m, greatest(10, 20 - w)) end)"""
+
+
+@query("rnk1_split_budget", f"with {SPLIT} select * from split")
 def _(spark, sf):
     return M.split_budget_terms(_counts(spark, sf), P.measured, 20).withColumn("n", F.col("n").cast("long"))
 
 
-MATCH = f"""{TERMS}, queries as (select * from subj where id % 100 = 0), titles as (select distinct id as listing, {STEM.format('word')} as term from (select id, unnest(regexp_extract_all(lower(title), '[{P.letters}0-9]+')) as word from texts)),
-scored as (select q.id, t.listing, cast(floor(100 * sum(weight) / any_value(total) + 0.5) as integer) as score from queries q join titles t using (term) join (select id, sum(weight) as total from queries group by 1) s on s.id = q.id group by all)"""
+MATCH = f"""{TERMS}, queries as (select * from subj where id % 100 = 0), titles as (select distinct id as listing, {STEM.format('word')} as term from (select id, unnest(regexp_extract_all(lower(title || ' ' || lots), '[{P.letters}0-9]+')) as word from texts) where length(word) >= 4),
+scored as (select q.id, t.listing, cast(floor(100 * sum(weight) / any_value(total) + 0.5) as integer) as score, string_agg(term, ' ' order by n) as matched from queries q join titles t using (term) join (select id, sum(weight) as total from queries group by 1) s on s.id = q.id group by all)"""
 
 
-def _scored(spark, sf):
-    c = _counts(spark, sf)
-    terms = M.subject_terms(c.where("id % 100 = 0"), M.idf(c), 8)
-    titles = B.texts(spark, sf).select(F.col("id").alias("listing"), F.explode(T.tokens(F.col("title"), P)).alias("w")).select("listing", T.stem(F.col("w"), P).alias("term"))
-    return M.subject_match(terms, titles)
+def _scored(spark, sf, least=1):
+    c = _kept_counts(spark, sf)
+    terms = saved(M.subject_terms(c.where("id % 100 = 0"), M.idf(c), 8), "subjects")
+    stems = saved(M.listing_stems(B.texts(spark, sf).withColumnRenamed("id", "listing"), ["title", "lots"], P), "stems")
+    return M.subject_match(terms, stems, least)
 
 
-@query("rnk3_subject_match", f"with {MATCH} select id, listing, score from scored where score > 0")
+@query("rnk3_subject_match", f"with {MATCH} select id, listing, score, matched from scored where score > 0")
 def _(spark, sf):
-    return _scored(spark, sf).where("score > 0")
+    return _scored(spark, sf).where("score > 0").withColumn("matched", F.array_join("matched", " "))
 
 
 @query("flt8_match_filter", f"with {MATCH} select distinct listing from scored where score >= 25")
 def _(spark, sf):
-    return _scored(spark, sf).where("score >= 25").select("listing").distinct()
+    return _scored(spark, sf, 25).select("listing").distinct()
 
 
 @query("rnk4_combined_rank", f"with {MATCH}, r as (select *, row_number() over (partition by id order by score * 100 + case when listing % 3 = 0 then -1 else listing % 100 end desc, listing desc) as place from scored) select id, listing, place from r where place <= 10")
@@ -92,13 +105,14 @@ def _(spark, sf):
     return _scored(spark, sf).groupBy("id").agg(F.count_if(F.col("score") > 0).alias("hits"), F.count_if(F.col("score") >= 60).alias("strong"), F.max("score").alias("best"))
 
 
-@query("agg12_weighted_coverage", f"""with {TERMS}, own as (select distinct term from counts where id % 10 = 1), r as (select c.id, sum(idf) as t, sum(case when own.term is not null then idf else 0 end) as g, count(own.term) as covered, count(*) filter (own.term is null) as missing
+@query("agg12_weighted_coverage", f"""with {TERMS}, own as (select distinct term from counts join documents on doc_id = id where lang = 'fr'), r as (select c.id, sum(idf) as t, sum(case when own.term is not null then idf else 0 end) as g, count(own.term) as covered, count(*) filter (own.term is null) as missing
   from (select id, term from subj) c join dfs using (term) left join own using (term) group by 1)
   select id, cast(floor(100 * g / t + 0.5) as integer) as score, covered, missing, case when floor(100 * g / t + 0.5) >= 60 then 'good' when floor(100 * g / t + 0.5) >= 30 then 'partial' else 'gaps' end as verdict from r""")
 def _(spark, sf):
-    c = _counts(spark, sf)
+    c = _kept_counts(spark, sf)
     w = M.idf(c).select("term", "idf")
-    return M.weighted_coverage(M.subject_terms(c, w, 8), c.where("id % 10 = 1"), w)
+    french = B.table(spark, sf, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"))
+    return M.weighted_coverage(M.subject_terms(c, w, 8), c.join(french, "id", "left_semi"), w)
 
 
 PARTS = "p as (select p_partkey as id, string_split(lower(p_type), ' ') as own, string_split(lower(p_name), ' ') as want from part)"
