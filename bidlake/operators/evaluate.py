@@ -9,6 +9,7 @@ from bidlake.functions import text as T
 
 #: A value of any kind: null, str, num, bool or list. ``s`` is its spelling, ``items`` the members of a list.
 ITEM = "struct<kind:string,s:string,d:double,b:boolean>"
+GROUPED = "struct<kind:string,s:string,d:double,b:boolean,g:array<bigint>>"
 VALUE = "struct<kind:string,s:string,d:double,b:boolean,items:array<struct<kind:string,s:string,d:double,b:boolean>>>"
 # Spellings that deny a property.
 NEGATIVES = ("нет", "no", "false", "отсутствует", "отсутствие", "0", "-", "—")
@@ -48,11 +49,29 @@ def synonym_groups(synonyms: dict[str, list[str]]) -> dict[str, list[int]]:
     return out
 
 
-def _same_group(a: Column, b: Column, groups: dict[str, list[int]]) -> Column:
-    if not groups:
-        return F.lit(False)
-    table = F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(F.arrays_overlap(F.try_element_at(table, a), F.try_element_at(table, b)), F.lit(False))
+def normal(text: Column) -> Column:
+    return F.lower(F.trim(text))
+
+
+def group_table(words: DataFrame, on: list[str]) -> DataFrame:
+    """(word, groups): each normalised word with the ids of the groups it is in. words: ``on`` (what names a group) and word."""
+    rows = words.select(normal(F.col("word")).alias("word"), F.xxhash64(*on).alias("group")).where("word is not null")
+    return rows.groupBy("word").agg(F.array_sort(F.collect_set("group")).alias("groups"))
+
+
+def with_groups(rows: DataFrame, on: list[str], value: str, groups: DataFrame, name: str, salts: int = 8) -> DataFrame:
+    """``rows`` (``on`` is unique) with ``name``: for each item of the value the groups it is in, none if it isn't in the table.
+
+    Words meet the table by an equi-join of any size. The table is repeated ``salts`` times and rows are dealt over
+    the copies by their key, so a word that many rows hold doesn't fall to one task. Rows without a known word aren't moved twice.
+    """
+    words = rows.select(*on, F.posexplode(as_items(F.col(value))).alias("_i", "_x")).select(*on, "_i", normal(F.col("_x.s")).alias("word"))
+    words = words.where("word is not null").withColumn("_salt", F.pmod(F.xxhash64(*on), F.lit(salts)).cast("int"))
+    table = groups.select("word", "groups", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    met = words.join(table, ["word", "_salt"]).groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("_i", "groups"))).alias("_met"))
+    none = F.array().cast("array<bigint>")
+    own = F.transform(as_items(F.col(value)), lambda x, i: F.coalesce(F.try_element_at(F.col("_met"), i), none))
+    return rows.join(met, on, "left").withColumn(name, F.coalesce(own, F.array().cast("array<array<bigint>>"))).drop("_met")
 
 
 def is_missing(v: Column) -> Column:
@@ -68,14 +87,24 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
     """Adds status, borderline and action to rows of a requirement with the attribute it met.
 
     Columns read: operator, req (value), req_unit, attr (value or null), attr_status, remapped,
-    remap_locked. Each operator's outcome is a column of its own (true, false or null for a gap) and one
+    remap_locked. Values that are synonyms count as equal: by ``synonyms``, a short list in the plan, or by the columns
+    req_groups and attr_groups that :func:`with_groups` takes from a table of any size. Each operator's outcome is a column of its own (true, false or null for a gap) and one
     final ladder chooses, which keeps the generated code small.
     """
     groups = synonym_groups(synonyms or {})
     op, req, attr = F.col("operator"), F.col("req"), F.col("attr")
-    norm = lambda s: F.lower(F.trim(s))
-    match = lambda a, r: (T.fold(a) == T.fold(r)) | _same_group(norm(a), norm(r), groups)
-    text_equal = lambda a, r: (a == r) | F.contains(a, r) | F.contains(r, a) | _same_group(a, r, groups)
+    table = F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*[F.lit(i).cast("long") for i in v]))]) if groups else None
+    none = F.array().cast("array<bigint>")
+
+    def grouped(v: Column, name: str) -> Column:
+        """The items of a value, each with its groups ``g``."""
+        own = (lambda x, i: F.try_element_at(table, normal(x["s"]))) if groups else (lambda x, i: F.get(F.col(name), i)) if name in pairs.columns else (lambda x, i: none)
+        return F.transform(as_items(v), lambda x, i: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["d"].alias("d"), x["b"].alias("b"), F.coalesce(own(x, i), none).alias("g")))
+
+    related = lambda y, x: F.coalesce(F.arrays_overlap(y["g"], x["g"]), F.lit(False))
+    match = lambda y, x: (T.fold(y["s"]) == T.fold(x["s"])) | related(y, x)
+    contained = lambda a, r: (a == r) | F.contains(a, r) | F.contains(r, a)
+    text_equal = lambda y, x: contained(normal(y["s"]), normal(x["s"])) | related(y, x)
     amount = lambda x: F.when(x["kind"] == "num", x["d"]).when(x["kind"] == "str", T.number(x["s"]))
     req_number = F.when(req["kind"] == "bool", req["b"].cast("double")).otherwise(amount(req))
     req_unit = F.coalesce(F.when(F.col("req_unit") != "", F.col("req_unit")), T.unit_of(req["s"]), F.lit(""))
@@ -92,14 +121,16 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
         return F.when(same, x["n"] * T.unit_scale(u) / T.unit_scale(r)).when((T.fold(u) == T.fold(r)) | (u == "") | (r == ""), x["n"])
 
     many = lambda v: F.size(F.regexp_extract_all(v["s"], F.lit(f"({T.NUMBER})"))) > 1
-    rows = pairs.withColumns({"attr_items": F.coalesce(as_items(attr), F.array().cast(f"array<{ITEM}>")), "req_items": F.coalesce(as_items(req), F.array().cast(f"array<{ITEM}>")), "req_u": req_unit, "req_n": req_number})
+    rows = pairs.withColumns({"attr_items": F.coalesce(grouped(attr, "attr_groups"), F.array().cast(f"array<{GROUPED}>")), "req_items": F.coalesce(grouped(req, "req_groups"), F.array().cast(f"array<{GROUPED}>")), "req_u": req_unit, "req_n": req_number})
     rows = rows.withColumn("candidates", F.when(op.isin("gte", "lte", "range"), F.filter(F.transform(F.concat(own, product), converted), lambda n: n.isNotNull())))
     # A number whose unit doesn't go together with the requirement's fails it; no number at all is a gap.
     rows = rows.withColumn("has_number", F.exists(own, lambda x: x["n"].isNotNull()) | (F.size(product) > 0))
     a, r, cands = F.col("attr_items"), F.col("req_items"), F.col("candidates")
-    all_found = F.forall(r, lambda x: F.exists(a, lambda y: match(y["s"], x["s"])))
-    any_listed = F.exists(a, lambda y: F.exists(r, lambda x: match(y["s"], x["s"])))
-    any_equal = F.exists(a, lambda y: match(y["s"], req["s"]) | text_equal(norm(y["s"]), norm(req["s"])))
+    all_found = F.forall(r, lambda x: F.exists(a, lambda y: match(y, x)))
+    any_listed = F.exists(a, lambda y: F.exists(r, lambda x: match(y, x)))
+    whole = F.struct(req["s"].alias("s"), F.when(req["kind"] == "list", none).otherwise(F.get(r, F.lit(0))["g"]).alias("g"))
+    own_text = F.struct(attr["s"].alias("s"), F.when(attr["kind"] == "list", none).otherwise(F.get(a, F.lit(0))["g"]).alias("g"))
+    any_equal = F.exists(a, lambda y: match(y, whole) | text_equal(y, whole))
     reply = lambda ok: F.when(F.col("has_number"), ok)
     bound = lambda compare: F.when(F.col("req_n").isNull(), None).otherwise(reply(F.exists(cands, lambda n: compare(n, F.col("req_n")))))
     low, high = amount(F.get(r, F.lit(0))), amount(F.get(r, F.lit(1)))
@@ -116,7 +147,7 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
         .when((attr["kind"] == "str") & area.isNotNull() & (F.coalesce(close(area, want_area), F.lit(False)) | F.coalesce(close(area, F.col("req_n")), F.lit(False))), True)
         .when(attr["kind"] == "list", any_equal)
         .when(numeric, by_number)
-        .otherwise(text_equal(norm(attr["s"]), norm(req["s"])))
+        .otherwise(text_equal(own_text, whole))
     )
     rows = rows.withColumns({
         "_eq": F.when(op == "eq", equal),

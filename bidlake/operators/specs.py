@@ -24,7 +24,8 @@ def column_roles(cells: Column, roles: tuple = ROLES) -> Column:
     claimed = F.array().cast("array<struct<role:string,col:int>>")
 
     def claim(acc: Column, cell: Column) -> Column:
-        fits = [F.when(cell["text"].rlike(pattern) & ~F.exists(acc, lambda x, role=role: x["role"] == role), F.struct(F.lit(role).alias("role"), cell["col"].alias("col"))) for role, pattern in roles]
+        taken = F.transform(acc, lambda x: x["role"])
+        fits = [F.when(cell["text"].rlike(pattern) & ~F.array_contains(taken, role), F.struct(F.lit(role).alias("role"), cell["col"].alias("col"))) for role, pattern in roles]
         own = F.array_compact(F.array(*fits))
         return F.concat(acc, F.slice(own, 1, 1))
 
@@ -88,16 +89,68 @@ def quality_gate(keys: DataFrame, most_junk: float = 0.5) -> DataFrame:
     return keys.groupBy("doc").agg(F.avg(F.col("key").rlike(r"^[\d\s.,]+$").cast("int")).alias("junk")).where(F.col("junk") < most_junk)
 
 
-def contract_terms(texts: DataFrame, triggers: list[str], window: int = 240) -> DataFrame:
-    """id, kind, term: within N days, until a date, or a date, in the window after the first trigger phrase; null if none."""
-    low = F.lower("text")
-    at = F.lit(0)
-    for t in reversed(triggers):
-        found = F.instr(low, t)
-        at = F.when(found > 0, found).otherwise(at)
-    near = F.when(at > 0, F.substr(low, at, F.lit(window)))
-    days = F.regexp_extract(near, r"(\d{1,3})\s*(?:[\p{L}()]+\s+)?(?:дн|day)", 1)
-    date = F.regexp_extract(near, r"(\d{2}\.\d{2}\.\d{4})", 1)
-    kind = F.when(near.isNull(), "none").when(days != "", "duration").when(date != "", F.when(near.rlike("до |until "), "until").otherwise("date")).otherwise("none")
-    term = F.when(kind == "duration", days).when(kind.isin("until", "date"), date)
-    return texts.select("id", kind.alias("kind"), term.alias("term"))
+# Fixed values that must equal the reference's: dates, durations and their phrases, and what announces a contract's term, in the order they are tried.
+_DATE = r"(?:\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}|\d{1,2}\s+[а-яё]{3,9}\s+\d{4}(?:\s*(?:года|г\.?))?)"
+_DURATION = r"\d+\s*(?:\([^)]*\)\s*)?(?:календарн\w+|рабоч\w+)?\s*(?:дн\w+|месяц\w*|недел\w+|год\w*)"
+_UNTIL = rf"(?:не\s+позднее|до|по)\s+{_DATE}"
+_WITHIN = rf"(?:в\s+течение|в\s+срок(?:\s+не\s+более)?)\s+{_DURATION}"
+TERM_FORMS = (_WITHIN, _UNTIL, _DURATION, _DATE)
+TRIGGERS = (
+    "срок исполнения контракт", "срок исполнения договор", "срок исполнения обязательств", "срок поставки", "срок выполнения работ", "срок оказания услуг",
+    "поставка товара осуществляется", "товар поставляется", "срок передачи товара",
+)
+STAGE = r"этап\s*(?:№\s*)?(\d+)"
+LOOSE = rf"(?:контракт\w*|поставк\w*)[^.;\n]{{0,120}}?({_WITHIN}|{_UNTIL})"
+_ANY_CASE = "(?iU)"
+
+
+def first_term(window: Column) -> Column:
+    """The first form of term found in a window, white space as single spaces; null if none."""
+    forms = [F.nullif(F.regexp_extract(window, f"{_ANY_CASE}{form}", 0), F.lit("")) for form in TERM_FORMS]
+    return T.squeeze(F.coalesce(*forms))
+
+
+def stages(text: Column, window: int = 90) -> Column:
+    """``Этап N: term`` of each stage number in the order of the text, from its first mention with a term within ``window`` characters.
+
+    Mentions are found at once, their places by summing the lengths of what lies between them.
+    """
+    pattern = f"{_ANY_CASE}{STAGE}"
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("number"), F.split(text, pattern, -1).alias("between"), text.alias("text")
+    )
+
+    def place(x: Column) -> Column:
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
+        lengths = F.transform(x["whole"], lambda w, i: F.struct(F.length(F.get(x["between"], i)).alias("before"), F.length(w).alias("own")))
+
+        def step(acc: Column, n: Column) -> Column:
+            at = acc["at"] + n["before"]
+            return F.struct((at + n["own"]).alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
+
+        places = F.aggregate(lengths, start, step, lambda acc: acc["all"])
+        return F.zip_with(x["number"], places, lambda n, at: F.struct(n.alias("number"), first_term(F.substr(x["text"], at, F.lit(window))).alias("term")))
+
+    told = F.filter(T.bound(found, place), lambda x: x["term"].isNotNull())
+    numbers = lambda xs: F.transform(xs, lambda x: x["number"])
+    first = T.bound(told, lambda xs: F.filter(xs, lambda x, i: F.array_position(numbers(xs), x["number"]) == i + 1))
+    return F.transform(first, lambda x: F.concat(F.lit("Этап "), x["number"], F.lit(": "), x["term"]))
+
+
+def contract_terms(texts: DataFrame, window: int = 240) -> DataFrame:
+    """id, execution_period, stages, confidence and summary of each contract's text.
+
+    The first trigger phrase, in their order, whose first mention has a term within ``window`` characters gives the
+    period. Confidence is high with a period or stages, medium for a term near the word contract or delivery, else
+    none: nothing is made up.
+    """
+    rows = texts.select("id", F.regexp_replace(F.coalesce("text", F.lit("")), "[ \t]+", " ").alias("t")).withColumn("low", F.lower("t"))
+    at = lambda phrase: F.instr("low", phrase)
+    near = [first_term(F.when(at(p) > 0, F.substr(F.col("t"), at(p), F.lit(window)))) for p in TRIGGERS]
+    rows = rows.withColumns({"execution": F.coalesce(*near), "stages": F.when(F.trim("t") == "", F.array().cast("array<string>")).otherwise(stages(F.col("t")))})
+    rows = rows.withColumn("loose", T.squeeze(F.nullif(F.regexp_extract("low", f"{_ANY_CASE}{LOOSE}", 1), F.lit(""))))
+    sure = F.col("execution").isNotNull() | (F.size("stages") > 0)
+    period = F.when(sure, F.col("execution")).otherwise(F.col("loose"))
+    confidence = F.when(sure, "high").when(F.col("loose").isNotNull(), "medium").otherwise("none")
+    parts = F.array_compact(F.array(F.concat(F.lit("Срок исполнения: "), period), F.when(F.size("stages") > 0, F.concat(F.lit("Этапы — "), F.array_join("stages", "; ")))))
+    return rows.select("id", period.alias("execution_period"), "stages", confidence.alias("confidence"), F.nullif(F.array_join(parts, " | "), F.lit("")).alias("summary"))

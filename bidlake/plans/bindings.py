@@ -59,13 +59,13 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("product_id"), status.alias("attr_status"), F.explode(entries).alias("e")).select("product_id", "attr_status", "e.*")
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a lot: purchase_id, pos, product_id (offered) and what they want."""
+def positions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Lines of a lot: purchase_id, pos, product_id (offered) and what they want, with ``more`` columns of the line."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     wanted = part.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_retailprice").alias("want_price"), F.col("p_brand").alias("want_brand"), F.col("p_type").alias("want_type"))
     return line.withColumn("pos", F.row_number().over(order)).join(wanted, "l_suppkey").select(
-        F.col("l_orderkey").alias("purchase_id"), "pos", F.col("l_partkey").alias("product_id"), "l_quantity", "l_linenumber", "l_returnflag", "want_price", "want_brand", "want_type"
+        F.col("l_orderkey").alias("purchase_id"), "pos", F.col("l_partkey").alias("product_id"), "l_quantity", "l_linenumber", "l_returnflag", "want_price", "want_brand", "want_type", *more
     )
 
 

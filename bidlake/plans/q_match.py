@@ -265,4 +265,26 @@ def _(spark, sf):
     return E.verdicts(pairs, checks, ["purchase_id", "pos", "product_id"]).select("purchase_id", "pos", "product_id", "score", "verdict")
 
 
+@query(
+    "joi6_synonym_groups",
+    f"""with {B.POSITIONS}, s as (select s_suppkey, translate(n_name, '0123456789', 'abcdefghij') as want, n_regionkey as want_region from supplier join nation on s_nationkey = n_nationkey), c as (select o_orderkey, translate(n_name, '0123456789', 'abcdefghij') as own, n_regionkey as own_region from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)
+    select purchase_id, pos, case when want_region = own_region or contains(lower(own), lower(want)) or contains(lower(want), lower(own)) then 'pass' else 'violation' end as one, case when want_region = own_region then 'pass' else 'violation' end as listed
+    from positions join s on s_suppkey = l_suppkey join c on o_orderkey = purchase_id""",
+)
+def _(spark, sf):
+    letters = F.translate("n_name", "0123456789", "abcdefghij")  # a name with a number would be compared as one
+    nation = B.table(spark, sf, "nation").withColumn("n_name", letters)
+    groups = E.group_table(nation.select("n_regionkey", F.concat(F.lit(" "), F.upper("n_name")).alias("word")), ["n_regionkey"])
+    key = ["purchase_id", "pos"]
+    names = nation.select(F.col("n_nationkey").alias("nation"), "n_name")
+    lines = B.positions(spark, sf, "l_suppkey").select(*key, F.col("l_suppkey").alias("s_suppkey"))
+    wanted = lines.join(B.table(spark, sf, "supplier"), "s_suppkey").select(*key, F.col("s_nationkey").alias("nation")).join(names, "nation").select(*key, E.value_of("str", F.col("n_name")).alias("req"))
+    buyers = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("purchase_id"), F.col("c_nationkey").alias("nation"))
+    own = buyers.join(names, "nation").select("purchase_id", E.value_of("str", F.col("n_name")).alias("attr"))
+    rows = E.with_groups(wanted, key, "req", groups, "req_groups").join(E.with_groups(own, ["purchase_id"], "attr", groups, "attr_groups"), "purchase_id")
+    rows = rows.withColumns({"req_unit": F.lit(""), "attr_status": F.lit("declared"), "remapped": F.lit(False), "remap_locked": F.lit(False)})
+    status = lambda op: E.evaluate(rows.withColumn("operator", F.lit(op))).select(*key, F.col("status").alias("one" if op == "eq" else "listed"))
+    return status("eq").join(status("one_of"), key)
+
+
 QUERIES, ORACLES = Q, O

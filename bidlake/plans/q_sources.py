@@ -89,13 +89,31 @@ def _(spark, sf):
     return P.fill_positions(_spec(spark, sf)).select("doc", "row_no", "pos", "name")
 
 
-@query("rnk6_pick_spec_table", """with t as (select conv_id as doc, turn % 3 as table_no, turn // 3 as row_no from conversations), b as (select doc, table_no, count(*) filter (row_no > 0) as body from t group by all having count(*) filter (row_no = 0) > 0),
-  r as (select *, row_number() over (partition by doc order by body desc, table_no) as n from b where body > 0) select doc, table_no, body from r where n = 1""")
-def _(spark, sf):
-    turn = F.col("turn")
-    head = F.array(*map(F.lit, ["No", "Product", "Code", "Quantity"]))
-    rows = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), (turn % 3).alias("table_no"), F.floor(turn / 3).alias("row_no"), F.when(turn < 3, head).otherwise(F.array(F.lit("1"), F.lit("x"), F.lit("2"), F.lit("3"))).alias("cells"))
-    return P.pick_table(rows).select("doc", "table_no", "body")
+def _tables(spark, sf):
+    """Three tables a conversation, their rows its turns: specifications with and without a title row, one whose second name column falls through to the code, and an inventory."""
+    doc, turn = F.col("conv_id"), F.col("turn")
+    kind = (doc + turn % 3) % 4
+    words = lambda *texts: F.array(*map(F.lit, texts))
+    head = (
+        F.when(kind == 0, words("№ п/п", "Наименование товара", "Код ОКПД 2 / КТРУ", "Наименование характеристики", "Значение характеристики", "Ед. изм."))
+        .when(kind == 1, words("Товар", "Наименование товара по КТРУ", "Кол-во", "Инструкция"))
+        .when(kind == 2, words("№ п/п", "Наименование оборудования", "инв №", "зав. №"))
+        .otherwise(words("Объект\u00a0закупки", "Требуемый параметр", "Требуемое значение"))
+    )
+    row = F.floor(turn / 3)
+    title = (doc % 5 == 0) & (row == 0)
+    at_head = F.when(doc % 5 == 0, row == 1).otherwise(row == 0)
+    cells = F.when(title, words("Описание объекта")).when(at_head, head).otherwise(F.array(turn.cast("string"), F.substring(F.coalesce("text", F.lit("")), 1, 20)))
+    return B.table(spark, sf, "conversations").select(doc.alias("doc"), (turn % 3).alias("table_no"), row.alias("row_no"), cells.alias("cells"))
+
+
+@query("rnk6_pick_spec_table", """with t as (select conv_id as doc, turn % 3 as table_no, max(turn // 3) as last, count(*) as n, (conv_id + turn % 3) % 4 as kind from conversations group by all),
+  c as (select *, case when doc % 5 = 0 then 1 else 0 end as header, last - case when doc % 5 = 0 then 1 else 0 end as body from t where n >= 2 and kind <> 2 and last >= case when doc % 5 = 0 then 1 else 0 end),
+  r as (select *, row_number() over (partition by doc order by body desc, table_no) as k from c)
+  select doc, table_no, header, body, case kind when 0 then 'charName=3 charValue=4 code=2 name=1 unit=5' when 1 then 'code=1 hardness=3 name=0 qty=2' else 'charName=1 charValue=2 name=0' end as roles from r where k = 1""")
+def _(spark, sf):
+    roles = F.array_join(F.transform(F.array_sort(F.map_entries("roles")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ")
+    return P.pick_table(_tables(spark, sf)).select("doc", "table_no", "header", "body", roles.alias("roles"))
 
 
 @query("rnk7_reset_positions")
@@ -166,10 +184,29 @@ def _(spark, sf):
     return back.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
-@query("sca21_contract_terms", f"""with t as (select doc_id as id, lower(coalesce(text, '')) as low from documents), n as (select id, case when strpos(low, 'licensed') > 0 then substr(low, strpos(low, 'licensed'), 240) end as near from t)
-  select id, case when near is null then 'none' when regexp_matches(near, '[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}') then 'date' else 'none' end as kind from n""")
+def _contract_text(spark, sf):
+    """Contracts made of each document's number and words: six kinds of clauses, some with a text between a phrase and its term."""
+    id, n = F.col("doc_id"), (F.col("doc_id") % 90 + 1).cast("string")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", "")
+    text = (
+        F.when(id % 6 == 0, F.concat(body, F.lit(" Срок поставки  товара: В течение "), n, F.lit(" (прописью) календарных   дней с даты заключения. Срок исполнения договора 7 дней")))
+        .when(id % 6 == 1, F.concat(F.lit("ЭТАП №2: до 01.06.2026; этап 1 — не определён"), F.rpad(F.lit(" "), 100, "x"), F.lit("Этап 1 — "), n, F.lit(" дней, этап 2: 5 дней. "), body))
+        .when(id % 6 == 2, F.concat(body, F.lit("\nОплата по контракту производится в срок не более "), n, F.lit(" рабочих дней; далее")))
+        .when(id % 6 == 3, body)
+        .when(id % 6 == 4, F.concat(F.lit("Срок оказания услуг"), F.rpad(F.lit(" "), 300, "y"), n, F.lit(" дней. Товар поставляется до "), n, F.lit(" декабря 2026 года")))
+        .otherwise(F.concat(F.lit("Срок выполнения работ: по 31.12.2026. Этап 3 — "), n, F.lit(" месяца")))
+    )
+    return B.table(spark, sf, "documents").select(id.alias("id"), text.alias("text"))
+
+
+TOLD = """told as (select doc_id as id, doc_id % 6 as k, doc_id % 90 + 1 as n from documents), terms as (select id,
+  case k when 0 then '7 дней' when 2 then 'в срок не более ' || n || ' рабочих дней' when 4 then 'до ' || n || ' декабря 2026 года' when 5 then 'по 31.12.2026' end as execution_period,
+  case k when 1 then 'Этап 2: до 01.06.2026; Этап 1: ' || n || ' дней' when 5 then 'Этап 3: ' || n || ' месяца' else '' end as stages, case when k in (0, 1, 4, 5) then 'high' when k = 2 then 'medium' else 'none' end as confidence from told)"""
+
+
+@query("sca21_contract_terms", f"""with {TOLD} select *, nullif(concat_ws(' | ', 'Срок исполнения: ' || execution_period, case when stages <> '' then 'Этапы — ' || stages end), '') as summary from terms""")
 def _(spark, sf):
-    return P.contract_terms(B.texts(spark, sf), ["licensed"]).select("id", "kind")
+    return P.contract_terms(_contract_text(spark, sf)).withColumn("stages", F.array_join("stages", "; "))
 
 
 QUERIES, ORACLES = Q, O

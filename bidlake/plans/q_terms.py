@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bidlake.functions import text as T
 from bidlake.functions.shared import saved
+from bidlake.operators import evaluate as E
 from bidlake.operators import terms as M
 from bidlake.plans import bindings as B
 
@@ -216,12 +217,17 @@ def _(spark, sf):
     return _sims(spark, sf, 0.33).where("query <> item").select("item").distinct()
 
 
-@query("joi8_vector_alignment", f"with {SIMS}, b as (select *, row_number() over (partition by query order by sim desc, item) as k from sims where query <> item) select query, item, sim from b where k = 1 and sim >= 0.3")
-def _(spark, sf):
-    from pyspark.sql import Window
+FIELDS = """fields as (select vec_id // 20 as pair, 'f' || vec_id as key, case label % 3 when 0 then 'num' when 1 then 'text' end as kind, vec_id as idx, embedding::double[] as v from embeddings)"""
+
 
-    best = Window.partitionBy("query").orderBy(F.desc("sim"), "item")
-    return _sims(spark, sf, 0.3).where("query <> item").withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+@query("joi8_vector_alignment", f"""with {FIELDS}, met as (select w.pair, w.key, w.kind, c.key as card_key, c.kind as card_kind, c.idx, round(list_dot_product(w.v, c.v), 6) as sim from fields w join fields c on w.pair = c.pair and w.idx % 2 = 0 and c.idx % 2 = 1),
+  b as (select *, row_number() over (partition by pair, key order by sim desc, idx) as n from met) select pair, key, card_key, sim from b where n = 1 and sim >= 0.15 and coalesce(kind = card_kind, true)""")
+def _(spark, sf):
+    id = F.col("vec_id")
+    kind = F.when(F.col("label") % 3 == 0, "num").when(F.col("label") % 3 == 1, "text")
+    fields = B.table(spark, sf, "embeddings").select(F.floor(id / 20).alias("pair"), F.concat(F.lit("f"), id).alias("key"), kind.alias("kind"), id.alias("idx"), F.col("embedding").alias("vector"))
+    card = fields.where("idx % 2 = 1").withColumnsRenamed({"key": "card_key", "kind": "card_kind"})
+    return M.align_vectors(fields.where("idx % 2 = 0").drop("idx"), card, 0.15)
 
 
 PAIRS = "pairs as (select x.vec_id as a, y.vec_id as b, round(list_dot_product(x.embedding::double[], y.embedding::double[]), 6) as sim from embeddings x join embeddings y on x.vec_id < y.vec_id)"
@@ -252,14 +258,26 @@ def _(spark, sf):
     return M.mined_groups(_name_pairs(spark, sf))
 
 
-@query("joi7_align_keys", """select p_partkey as pair, w.key, case w.key when 'Size of Part' then 'part size of' else 'brand' end as card_key from part, (values ('Size of Part'), ('maker')) w(key)""")
+KEY_GROUPS = [(0, "производитель"), (0, "Бренд"), (0, "марка товара"), (1, "цвет"), (1, "окраска")]
+
+
+@query("joi7_align_keys", """with p as (select *, p_partkey as k from part), pairs as (
+    select k as pair, case k % 3 when 0 then 'Размер товара' when 1 then 'товара_размер' else 'Размер, товара!' end as key, 'размер_товара' as card_key, case when k % 2 = 1 then 'num' else 'text' end as a, case when k % 5 = 0 then 'text' else 'num' end as b from p
+    union all select k, 'Производитель', case when k % 6 = 0 then 'товара марка' else 'бренд' end, case when regexp_matches(p_brand, '[0-9]') then 'num' else 'text' end, case when k % 4 > 0 then case when k % 6 = 0 then 'text' when regexp_matches(p_brand, '[0-9]') then 'num' else 'text' end end from p
+    union all select k, 'Цвет', 'окраска', 'text', 'text' from p where k % 7 = 0) select pair, key, card_key from pairs where coalesce(a = b, true)""")
 def _(spark, sf):
-    part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("pair"))
-    pick = lambda rows: F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.items()]) for r in rows])).alias("r")
-    wanted = part.select("pair", pick([{"key": "Size of Part", "kind": "num"}, {"key": "maker", "kind": "str"}, {"key": "type", "kind": "str"}, {"key": "colour", "kind": "num"}])).select("pair", "r.*")
-    own = part.select("pair", pick([{"idx": 0, "card_key": "part size of", "card_kind": "num"}, {"idx": 1, "card_key": "brand", "card_kind": "str"}, {"idx": 2, "card_key": "type", "card_kind": "str"}, {"idx": 3, "card_key": "color", "card_kind": "str"}])).select("pair", "r.*")
-    groups = spark.createDataFrame([("maker", 0), ("brand", 0), ("colour", 1), ("color", 1)], "word string, `group` int")
-    return M.align_keys(wanted, own, groups)
+    k = F.col("p_partkey")
+    part = B.table(spark, sf, "part")
+    text, number = (lambda c: E.value_of("str", c)), E.value_of("num", F.col("p_size").cast("double"))
+    field = lambda key, value: F.struct((F.lit(key) if isinstance(key, str) else key).alias("key"), value.cast(E.VALUE).alias("value"))
+    size = F.when(k % 3 == 0, "Размер товара").when(k % 3 == 1, "товара_размер").otherwise("Размер, товара!")
+    wanted = F.array(field(size, F.when(k % 2 == 1, number).otherwise(text(F.col("p_type")))), field("Производитель", text(F.col("p_brand"))), field("тип", text(F.col("p_type"))), field("Цвет", text(F.lit("красный"))))
+    brand = F.when(k % 4 == 0, E.value_of("list", F.array("p_brand"))).otherwise(text(F.col("p_brand")))
+    first = F.when(k % 6 == 0, field("товара марка", F.when(k % 4 > 0, text(F.lit("своя"))).otherwise(brand))).otherwise(field("артикул", number))
+    card = F.array(first, field("бренд", brand), field("размер_товара", F.when(k % 5 == 0, text(F.lit("большой"))).otherwise(number)), field("тип", text(F.col("p_type"))), field(F.when(k % 7 == 0, "окраска").otherwise("ширина"), text(F.lit("синий"))))
+    asked = part.select(k.alias("pair"), F.explode(wanted).alias("f")).select("pair", "f.key", M.value_kind(F.col("f.value")).alias("kind"))
+    own = part.select(k.alias("pair"), F.posexplode(card).alias("idx", "f")).select("pair", "idx", F.col("f.key").alias("card_key"), M.value_kind(F.col("f.value")).alias("card_kind"))
+    return M.align_keys(asked, own, spark.createDataFrame(KEY_GROUPS, "`group` long, word string"))
 
 
 QUERIES, ORACLES = Q, O
