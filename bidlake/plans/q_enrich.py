@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidlake.functions.shared import new_path
 from bidlake.operators import enrich as N
 from bidlake.operators import terms as M
+from bidlake.operators.build import build_snapshot, read_published
 from bidlake.plans import bindings as B
 from bidlake.plans.q_sources import ANCHORS, attachments
 from bidlake.plans.q_terms import SPLIT, P
@@ -108,4 +110,32 @@ def _(spark, sf):
     return after.select("id", "status", "doc", F.array_join(F.coalesce("terms", F.array().cast("array<string>")), "|").alias("terms"), F.size(F.coalesce("items", F.array().cast("array<string>"))).alias("items"))
 
 
+# -- a snapshot over two runs: each shows part of the listings, and says less or more of a region ----------
+
+
+LATER = "1998-06-01 00:00:00"
+RUNS = f"""{B.LISTINGS}, one as (select id, title, case when id % 7 = 0 then '' else region end as region, price, end_ts, id % 4 = 0 as fetched from listings where id % 2 = 0),
+two as (select id, title, case when id % 5 = 0 then '' else source end as region, price + 1 as price, end_ts, id % 9 = 0 as fetched from listings where id % 3 = 0),
+store as (select coalesce(t.id, o.id) as id, coalesce(t.title, o.title) as title, coalesce(nullif(t.region, ''), nullif(o.region, '')) as region, coalesce(t.price, o.price) as price, coalesce(t.end_ts, o.end_ts) as end_ts,
+    coalesce(t.fetched, false) or coalesce(o.fetched, false) as fetched, t.id is not null as seen_now from one o full join two t on t.id = o.id),
+live as (select * from store where not coalesce(end_ts <= TIMESTAMP '{LATER}', false) and (end_ts is not null or seen_now))"""
+
+
+@query("job1_snapshot_build", f"""with {RUNS}, files as (select id, case when id % 10 = 0 then case when id % 20 = 0 then 'ok' else 'error' end end as outcome from live)
+  select id, region, price, case when outcome is not null then outcome when fetched then 'no-doc' else 'pending' end as status, case when outcome = 'ok' then 't' || id else '' end as terms, 2 as version
+  from (select * from live join files using (id) order by end_ts nulls last, id limit 5000)""")
+def _(spark, sf):
+    path, id = new_path(spark, "build"), F.col("id")
+    rows = B.listings(spark, sf)
+    one = rows.where("id % 2 = 0").withColumns({"region": F.when(id % 7 == 0, "").otherwise(F.col("region")), "docs_fetched": id % 4 == 0})
+    two = rows.where("id % 3 = 0").withColumns({"region": F.when(id % 5 == 0, "").otherwise(F.col("source")), "price": F.col("price") + 1, "docs_fetched": id % 9 == 0})
+    documents = rows.where("id % 10 = 0").select("id", F.lit(0).alias("n"), F.lit("ТЗ.docx").alias("name"), F.lit("u").alias("url"))
+    texts = "array<string>"
+    parsed = rows.where("id % 20 = 0").select("id", F.lit(0).alias("n"), F.lit("ok").alias("status"), F.array(F.concat(F.lit("t"), id)).alias("terms"), F.lit(None).cast(texts).alias("items"))
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    build_snapshot([one.where("id % 4 = 0"), one], documents, parsed, path, at("1998-04-01"), 10**9, 5000)
+    build_snapshot([two], documents, parsed, path, at(LATER), 10**9, 5000)
+    return read_published(spark, path).select("id", "region", "price", "status", F.array_join(F.coalesce("terms", F.array().cast(texts)), "|").alias("terms"), "version")
+
+
 QUERIES, ORACLES = Q, O
