@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -79,12 +79,22 @@ def lead_version_stream(runs: DataFrame) -> DataFrame:
     return runs.groupBy("lead").transformWithStateInPandas(LeadVersions(), "lead long, run long, change string, sticky string", "Update", "None")
 
 
-def hopping_alerts(events: DataFrame, key: str, seconds: int, slide: int, hits: int, late: str = "1 minute") -> DataFrame:
-    """Windows in which a key has at least ``hits`` events; late events are waited for by the watermark."""
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds", f"{slide} seconds"), key).agg(F.count(F.lit(1)).alias("n"))
+def hopping_counts(events: DataFrame, key: str, seconds: int, slide: int, hits: int) -> DataFrame:
+    """key, start and n of the windows in which a key has at least ``hits`` events; for batches and, behind a watermark, streams."""
+    counts = events.groupBy(F.window("ts", f"{seconds} seconds", f"{slide} seconds"), key).agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") >= hits).select(key, F.col("window.start").alias("start"), "n")
 
 
-def discovery(records: DataFrame, late: str = "1 day") -> DataFrame:
-    """Records whose id was not seen within the watermark."""
-    return records.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+def hopping_alerts(events: DataFrame, key: str, seconds: int, slide: int, hits: int, late: str = "1 minute", id: str | None = None) -> DataFrame:
+    """:func:`hopping_counts` over a stream; the watermark waits ``late`` for late events, and an event that comes again with its ``id`` in that time counts once."""
+    rows = events.withWatermark("ts", late)
+    rows = rows.dropDuplicatesWithinWatermark([id]) if id else rows
+    return hopping_counts(rows, key, seconds, slide, hits)
+
+
+def discovery(records: DataFrame, known: DataFrame | None = None, relevant: Column | None = None, late: str = "1 day") -> DataFrame:
+    """Relevant records whose id is neither in ``known`` (id, a table) nor was seen within the watermark."""
+    rows = records.withWatermark("ts", late)
+    rows = rows if relevant is None else rows.where(relevant)
+    rows = rows if known is None else rows.join(known.select("id").distinct(), "id", "left_anti")
+    return rows.dropDuplicatesWithinWatermark(["id"])
