@@ -184,6 +184,63 @@ def code_ancestors(okpd: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
 
 
+# Fixed values that must equal the reference's: words of a region's name in lower case, districts and cities by the
+# region they belong to, federal cities, and what names a region of its own.
+REGION_WORDS = ("область", "край", "округ", "автономный", "автономная", "автономного", "район", "района")
+REGION_ROLLUP = {
+    "р-н боровичский": "Новгородская область", "р-н хвойнинский": "Новгородская область", "р-н красновишерский": "Пермский край",
+    "г. кемерово": "Кемеровская область - Кузбасс", "г. сургут": "Ханты-Мансийский автономный округ - Югра",
+}
+FEDERAL_CITY = r"(?iu)^г\.?\s*(?:москва|санкт[- ]петербург|севастополь)$"
+REGION = "(?iu)облас|край|республик|автономн|округ|кузбасс"
+
+
+def tidy_region(c: Column) -> Column:
+    """A region's name as portals write it: capitals only where words and parts after a hyphen begin, service words small."""
+    s = squeeze(F.coalesce(c, F.lit("")))
+    s = F.when(s.rlike("[а-яё]"), s).otherwise(F.lower(s))
+    first = lambda w: F.substring(w, 1, 1)
+    raised = lambda w: F.concat(F.when(first(w).rlike("[а-яёa-z]"), F.upper(first(w))).otherwise(first(w)), F.substring(w, 2, 1_000_000))
+    part = lambda w: F.array_join(F.transform(F.split(w, "-"), raised), "-")
+    return F.array_join(F.transform(F.split(s, " "), lambda w: F.when(F.lower(w).isin(*REGION_WORDS), F.lower(w)).otherwise(part(w))), " ")
+
+
+def canonical_region(c: Column) -> Column:
+    """The region that a name stands for: rolled up from a district, a federal city, or a region's own name; else empty."""
+    s = trimmed(F.coalesce(c, F.lit("")))
+    table = F.create_map(*[F.lit(x) for pair in REGION_ROLLUP.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(s)), F.when(s.rlike(FEDERAL_CITY), F.regexp_replace(s, r"(?iu)^г\.?\s*", "г. ")).when(s.rlike(REGION), s).otherwise(""))
+
+
+def unit_label(c: Column) -> Column:
+    """A unit without the gloss in brackets after it."""
+    s = F.coalesce(c, F.lit(""))
+    short = trimmed(F.regexp_replace(s, r"\s*\([^)]*\)\s*$", ""))
+    return F.when(short != "", short).otherwise(trimmed(s))
+
+
+def clipped(c: Column, most: int = 120) -> Column:
+    """A text of at most ``most`` characters, the last a sign of what was left out."""
+    return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most - 1)), F.lit("…"))).otherwise(c)
+
+
+def piped(cells: Column) -> Column:
+    """A table row as text: cells between bars, line breaks as spaces; null for a row without any text."""
+    clean = F.transform(cells, lambda x: trimmed(F.replace(F.coalesce(x, F.lit("")), F.lit("\n"), F.lit(" "))))
+    return bound(clean, lambda xs: F.when(F.exists(xs, lambda x: x != ""), F.concat(F.lit("| "), F.array_join(xs, " | "), F.lit(" |"))))
+
+
+def unpiped(line: Column) -> Column:
+    """The cells of a row that :func:`piped` wrote; null for other lines."""
+    return F.when(line.startswith("|"), F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), trimmed))
+
+
+def unit_price(source: Column, price: Column, quantity: Column) -> Column:
+    """Price of one unit: portals give it, others give the line's price, divided by a quantity above 0 if there is one."""
+    n = F.replace(F.regexp_extract(F.regexp_replace(quantity, SPACE, ""), r"^[-+]?\d+(?:[.,]\d+)?", 0), F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(F.coalesce(source, F.lit("")).rlike(r"(?iu)mos\.ru|портал"), price).when(n > 0, price / n)
+
+
 def region_code(number: Column) -> Column:
     """Digits 3 and 4 of a 19-digit registry number, else null."""
     return F.when(number.rlike(r"^\d{19}$"), F.substring(number, 3, 2))

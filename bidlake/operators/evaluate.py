@@ -202,6 +202,49 @@ def verdicts(pairs: DataFrame, checks: DataFrame, on: list[str]) -> DataFrame:
     return rows.select(*on, "score", "verdict", "n", "passed", "tech_passed", told.alias("explanation"))
 
 
+# How operators are written for a reader.
+SIGNS = {"gte": "≥", "lte": "≤", "eq": "=", "range": "диапазон", "one_of": "одно из", "set": "набор", "present": "наличие"}
+
+
+def short_text(v: Column) -> Column:
+    """A value's spelling, whole numbers without their point."""
+    return F.when(v["kind"].isin("num", "list"), F.regexp_replace(v["s"], r"(?<=\d)\.0(?!\d)", "")).otherwise(v["s"])
+
+
+def requirement_text(operator: Column, req: Column, unit: Column) -> Column:
+    """A requirement as listings show it: bounds with their sign, a range with a dash, presence as a word, else the value; with the unit's short name."""
+    label = T.unit_label(unit)
+    tail = F.when(label != "", F.concat(F.lit(" "), label)).otherwise("")
+    joined = F.array_join(F.transform(as_items(req), lambda x: F.regexp_replace(x["s"], r"(?<=\d)\.0$", "")), "–")
+    return F.when(operator == "present", "требуется").otherwise(F.concat(F.when(operator == "gte", "≥ ").when(operator == "lte", "≤ ").otherwise(""), T.clipped(joined), tail))
+
+
+def signed_text(operator: Column, req: Column, unit: Column) -> Column:
+    """A requirement as notes on it say it: sign, value and unit."""
+    table = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])
+    sign = F.coalesce(F.try_element_at(table, operator), operator)
+    return F.trim(F.concat_ws(" ", sign, F.coalesce(short_text(req), F.lit("")), F.coalesce(unit, F.lit(""))))
+
+
+def gap_list(checks: DataFrame, on: list[str]) -> DataFrame:
+    """What a client may still fill in: ``on``, gap_keys, in the same order the requirements' texts, and of failed ones key, the product's value and the requirement."""
+    ordered = lambda told, value: F.transform(F.array_sort(F.collect_list(F.when(told, F.struct("req_idx", value.alias("v"))))), lambda x: x["v"])
+    gap, failed = F.col("status") == GAP, F.col("status") == VIOLATION
+    wanted = signed_text(F.col("operator"), F.col("req"), F.col("req_unit"))
+    beside = F.struct("key", short_text(F.col("attr")).alias("own"), wanted.alias("wanted"))
+    rows = checks.groupBy(*on).agg(ordered(gap, F.col("key")).alias("gap_keys"), ordered(gap, wanted).alias("wanted"), ordered(failed, beside).alias("failed"))
+    return rows.where((F.size("gap_keys") > 0) | (F.size("failed") > 0))
+
+
+def product_text(products: DataFrame, attributes: DataFrame, identity: tuple[str, ...], extra: Column) -> DataFrame:
+    """(product_id, text) for vectors: name, the texts of attributes that say what the product is, in card order, and ``extra``."""
+    own = attributes.where(F.col("key").isin(*identity) & (F.col("attr.kind") == "str")).groupBy("product_id")
+    texts = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("attr_idx", F.col("attr.s").alias("t")))), lambda x: x["t"]).alias("texts"))
+    parts = F.concat(F.array("name"), F.coalesce("texts", F.array().cast("array<string>")), F.array(extra))
+    told = F.array_join(F.filter(parts, lambda x: F.coalesce(x, F.lit("")) != ""), ". ")
+    return products.join(texts, "product_id", "left").select("product_id", told.alias("text"))
+
+
 def apply_mapping(requirements: DataFrame, mapping: DataFrame, critical: list[str]) -> DataFrame:
     """Renames keys by (product_id, key, new_key); a renamed key is remapped, and locked if the original is critical."""
     rows = requirements.join(mapping.select("product_id", "key", "new_key"), ["product_id", "key"], "left")
@@ -209,8 +252,10 @@ def apply_mapping(requirements: DataFrame, mapping: DataFrame, critical: list[st
     return rows.withColumns({"remapped": moved, "remap_locked": moved & F.col("key").isin(*critical), "key": F.coalesce("new_key", "key")}).drop("new_key")
 
 
-def harden(requirements: DataFrame, critical: list[str]) -> DataFrame:
-    return requirements.withColumn("hardness", F.when(F.col("key").isin(*critical), "hard").otherwise("soft"))
+def harden(requirements: DataFrame, critical: DataFrame, on: list[str]) -> DataFrame:
+    """Requirements whose key is critical for their category become hard, all others soft. critical: ``on`` (what names the category) and key."""
+    marked = critical.select(*on, "key").distinct().withColumn("_critical", F.lit("hard"))
+    return requirements.join(marked, [*on, "key"], "left").withColumn("hardness", F.coalesce("_critical", F.lit("soft"))).drop("_critical")
 
 
 def apply_fills(attributes: DataFrame, fills: DataFrame) -> DataFrame:

@@ -180,8 +180,7 @@ def _(spark, sf):
 
 @query("agg24_max_delivery", W + "select customer, max(delivery_days) as delivery_days from listings group by 1")
 def _(spark, sf):
-    days = B.listings(spark, sf).groupBy("customer").agg(F.collect_set("delivery_days").alias("d"))
-    return days.select("customer", F.array_max("d").alias("delivery_days"))
+    return B.listings(spark, sf).groupBy("customer").agg(F.max("delivery_days").alias("delivery_days"))
 
 
 WINDOW = f"coalesce({DAYS} between 1 and 29, false)"

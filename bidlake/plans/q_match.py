@@ -99,15 +99,20 @@ def _(spark, sf):
     return prints.groupBy("content_hash").agg(F.min(F.col("purchase_id") * 1000 + F.col("pos")).alias("first"), F.count(F.lit(1)).alias("n")).drop("content_hash")
 
 
-@query(
-    "ev1_apply_mapping",
-    f"""with {B.CHECKS}, mapped as (select *, case when req_idx = 3 then 'type' else key end as new_key, req_idx = 3 as remapped from checks)
-    select new_key as key, remapped, remapped and key = 'brand' as remap_locked, count(*) as n from mapped group by all""",
-)
+MAPPED = """mapped as (select *, case when p_size % 3 = 0 and key = 'brand' then 'type' when p_size % 3 = 1 and key = 'size' then 'retailprice' when p_size % 3 = 2 and key = 'type' then 'brand' end as new_key,
+    case when p_size % 3 = 0 and key = 'brand' then lower(p_type) in (lower(want_brand), 'brand#' || l_linenumber) when p_size % 3 = 1 and key = 'size' then p_retailprice >= l_quantity
+      when p_size % 3 = 2 and key = 'type' then contains(lower(p_brand), lower(want_type)) or contains(lower(want_type), lower(p_brand)) end as new_ok from checks join offers using (purchase_id, pos, product_id) join (select p_partkey, p_size from part) p on p.p_partkey = product_id),
+  moved as (select purchase_id, pos, req_idx, coalesce(new_key, key) as key, new_key is not null as remapped, new_key is not null and key = 'brand' as remap_locked,
+    case when new_key is null then status when new_ok then 'pass' when key = 'brand' then 'violation' else 'gap' end as status from mapped)"""
+
+
+@query("ev1_apply_mapping", f"with {B.CHECKS}, {MAPPED} select * from moved")
 def _(spark, sf):
-    mapping = B.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.lit("brand").alias("key"), F.lit("type").alias("new_key"))
-    rows = E.apply_mapping(B.requirements(spark, sf), mapping, ["brand"])
-    return rows.groupBy("key", "remapped", "remap_locked").agg(F.count(F.lit(1)).alias("n"))
+    part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_size") % 3).alias("r"))
+    pairs = spark.createDataFrame([(0, "brand", "type"), (1, "size", "retailprice"), (2, "type", "brand")], "r int, key string, new_key string")
+    rows = E.apply_mapping(B.requirements(spark, sf), part.join(pairs, "r").drop("r"), ["brand"])
+    checks = E.evaluate(E.meet_attributes(rows, B.attributes(spark, sf)))
+    return checks.select("purchase_id", "pos", "req_idx", "key", "remapped", "remap_locked", "status")
 
 
 @query(
@@ -122,16 +127,26 @@ def _(spark, sf):
     return E.evaluate(E.meet_attributes(B.requirements(spark, sf), filled)).groupBy("key", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ev3_gap_keys", f"with {B.CHECKS} select purchase_id, pos, string_agg(key, ', ' order by req_idx) as gap_keys from checks where status = 'gap' group by all")
+WRITTEN = """texts as (select purchase_id, pos, req_idx, status, key, case key when 'size' then '≥ ' || l_quantity::integer when 'retailprice' then 'диапазон ' || (want_price - 40) || '..' || (want_price + 40) when 'type' then '= ' || want_type
+      when 'brand' then 'одно из [' || chr(39) || want_brand || chr(39) || ', ' || chr(39) || 'Brand#' || l_linenumber || chr(39) || ']' else 'наличие True' end as wanted,
+    case key when 'size' then size || '' when 'retailprice' then regexp_replace(p_retailprice || '', '[.]0$', '') when 'type' then p_type when 'brand' then p_brand else p_name end as own from checks join offers using (purchase_id, pos, product_id))"""
+
+
+@query("ev3_gap_keys", f"""with {B.CHECKS}, {WRITTEN} select purchase_id, pos, coalesce(string_agg(key, '; ' order by req_idx) filter (status = 'gap'), '') as gap_keys, coalesce(string_agg(wanted, '; ' order by req_idx) filter (status = 'gap'), '') as wanted,
+  coalesce(string_agg(key || ': ' || own, '; ' order by req_idx) filter (status = 'violation'), '') as failed from texts group by all having count(*) filter (status <> 'pass') > 0""")
 def _(spark, sf):
-    gaps = B.checks(spark, sf).where("status = 'gap'")
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("req_idx", "key"))), lambda x: x["key"]), ", ")
-    return gaps.groupBy("purchase_id", "pos").agg(keys.alias("gap_keys"))
+    rows = E.gap_list(B.checks(spark, sf), ["purchase_id", "pos"])
+    text = lambda c: F.array_join(c, "; ")
+    failed = F.transform("failed", lambda x: F.concat(x["key"], F.lit(": "), x["own"]))
+    return rows.select("purchase_id", "pos", text("gap_keys").alias("gap_keys"), text("wanted").alias("wanted"), text(failed).alias("failed"))
 
 
-@query("ev5_harden_critical", f"with {B.CHECKS} select key, case when key in ('type') then 'hard' else 'soft' end as hardness, count(*) as n from checks group by all")
+@query("ev5_harden_critical", f"with {B.CHECKS} select purchase_id, pos, req_idx, case when key = case p_size % 3 when 0 then 'type' when 1 then 'size' else 'brand' end or (key = 'retailprice' and p_retailprice > 950) then 'hard' else 'soft' end as hardness from checks join part on p_partkey = product_id")
 def _(spark, sf):
-    return E.harden(B.requirements(spark, sf), ["type"]).groupBy("key", "hardness").agg(F.count(F.lit(1)).alias("n"))
+    part = B.table(spark, sf, "part")
+    by_size = part.select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") % 3 == 0, "type").when(F.col("p_size") % 3 == 1, "size").otherwise("brand").alias("key"))
+    critical = by_size.union(part.where("p_retailprice > 950").select("p_partkey", F.lit("retailprice")))
+    return E.harden(B.requirements(spark, sf), critical, ["product_id"]).select("purchase_id", "pos", "req_idx", "hardness")
 
 
 @query("ev6_status_words", f"with {B.CHECKS} select case status when 'violation' then 'fail' else status end as status, count(*) as n from checks group by 1")
@@ -139,9 +154,11 @@ def _(spark, sf):
     return B.checks(spark, sf).groupBy(L.status_word(F.col("status")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("flt15_key_category", f"with {B.CHECKS} select key, case when key = 'name' then 'documentary' else 'technical' end as category, count(*) as n from checks group by all")
+@query("flt15_key_category", "with k as (select distinct unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zß-öø-ÿ]+')) as key from documents) select key, case when regexp_matches(key, 'tion|ver|^the') then 'documentary' else 'technical' end as category from k")
 def _(spark, sf):
-    return B.requirements(spark, sf).groupBy("key", L.key_category(F.col("key"), "name|certificate|warranty").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-zß-öø-ÿ]+)"))
+    keys = B.table(spark, sf, "documents").select(F.explode(words).alias("key")).distinct()
+    return keys.select("key", L.key_category(F.col("key"), "tion|ver|^the").alias("category"))
 
 
 @query(

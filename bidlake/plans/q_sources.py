@@ -167,13 +167,19 @@ def _(spark, sf):
     return out.select("id", F.col("pos").cast("long").alias("pos"), F.nullif("name", F.lit("")).alias("name"), "code", "qty")
 
 
-@query("src15_validate", "select case when l_linenumber % 7 = 3 or l_returnflag = 'N' then 'rejected' else 'ok' end as side, count(*) as n from lineitem group by 1")
+@query("src15_validate", """with r as (select l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice, case when l_quantity > 45 then 'about' when l_quantity > 25 then 'gte' else 'range' end as operator, case when l_returnflag = 'N' then 'maybe' when l_returnflag = 'R' then 'hard' else 'soft' end as hardness,
+    case when l_tax > 0.07 then 'other' when l_tax > 0.04 then 'documentary' else 'technical' end as type, case when l_discount >= 0.1 then '' else 'k' || l_suppkey end as key, l_discount > 0 as has_value from lineitem)
+  select l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice, case when operator <> 'about' and hardness <> 'maybe' and type <> 'other' and key <> '' and has_value then 'ok' else 'rejected' end as side from r""")
 def _(spark, sf):
+    amount, tax, off = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    own = ["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
     rows = B.table(spark, sf, "lineitem").select(
-        F.lit("size").alias("key"), F.when(F.col("l_linenumber") % 7 == 3, "about").otherwise("gte").alias("operator"), F.lit("1").alias("value"), F.when(F.col("l_returnflag") == "N", None).otherwise("soft").alias("hardness"), F.lit("technical").alias("type")
-    )
+        *own, F.when(off >= 0.1, "").otherwise(F.concat(F.lit("k"), "l_suppkey")).alias("key"), F.when(amount > 45, "about").when(amount > 25, "gte").otherwise("range").alias("operator"),
+        F.when(off > 0, off.cast("string")).alias("value"), F.when(F.col("l_returnflag") == "N", "maybe").when(F.col("l_returnflag") == "R", "hard").otherwise("soft").alias("hardness"),
+        F.when(tax > 0.07, "other").when(tax > 0.04, "documentary").otherwise("technical").alias("type"),
+    )
     ok, bad = X.validate_requirements(rows)
-    return ok.select(F.lit("ok").alias("side")).union(bad.select(F.lit("rejected").alias("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    return ok.select(*own, F.lit("ok").alias("side")).union(bad.select(*own, F.lit("rejected").alias("side")))
 
 
 @query("src14_verdict_files", "select p_partkey % 5 as product_id, count(*) as n, sum(p_size)::bigint as score from part group by 1")

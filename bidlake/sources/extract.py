@@ -85,13 +85,15 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_profiles(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Category profiles as dimension tables: keywords, stop words, codes, synonyms, critical keys."""
-    schema = "category string, okpd2_ktru array<string>, keywords array<string>, stop_keywords array<string>, synonyms map<string,array<string>>, critical_attributes array<string>"
+    """Category profiles as dimension tables: tiers, keywords, stop words, codes, synonyms, groups of keys, critical keys, required documents."""
+    lists = ("okpd2_ktru", "keywords", "stop_keywords", "critical_attributes", "required_documents")
+    schema = "category string, tier string, synonyms map<string,array<string>>, key_synonyms array<array<string>>, " + ", ".join(f"{c} array<string>" for c in lists)
     rows = spark.read.schema(schema).json(path, multiLine=True)
     one = lambda c: rows.select("category", F.explode(c).alias("value"))
     words = rows.select("category", F.explode("synonyms").alias("canon", "others"))
     return {
-        "codes": one("okpd2_ktru"), "keywords": one("keywords"), "stop": one("stop_keywords"), "critical": one("critical_attributes"),
+        "codes": one("okpd2_ktru"), "keywords": one("keywords"), "stop": one("stop_keywords"), "critical": one("critical_attributes"), "documents": one("required_documents"), "tiers": rows.select("category", "tier"),
+        "key_groups": rows.select("category", F.posexplode("key_synonyms").alias("group", "words")).select("category", "group", F.explode("words").alias("word")),
         "synonyms": words.select("category", "canon", F.explode(F.concat(F.array("canon"), "others")).alias("word")),
     }
 

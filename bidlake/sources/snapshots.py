@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import new_path
@@ -56,3 +56,8 @@ def invoices(orders: DataFrame, companies: DataFrame) -> DataFrame:
     return rows.orderBy(paid, F.desc("o_orderdate"), "o_orderkey").select(
         F.col("o_orderkey").alias("id"), F.col("c_name").alias("company"), F.bround(F.col("o_totalprice") * 0.05 / 1.05, 0).cast("long").alias("vat"), number.alias("number"), paid.alias("paid")
     )
+
+
+def renewed(expires: Column, paid: Column, days: int = 30) -> Column:
+    """A subscription's end after a payment: from its present end on if that is still ahead, so paying early loses nothing."""
+    return F.greatest(expires, paid) + F.make_dt_interval(F.lit(days))
