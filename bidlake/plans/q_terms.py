@@ -148,8 +148,9 @@ def _(spark, sf):
 BENCH = f"""{B.CONTRACTS}, bench as (select theme, case when count(*) filter (price > 0) > 0 then count(*) else 0 end as count, cast(floor(avg(price) filter (price > 0) + 0.5) as bigint) as avg, cast(floor(median(price) filter (price > 0) + 0.5) as bigint) as median,
   cast(floor(min(price) filter (price > 0) + 0.5) as bigint) as min, cast(floor(max(price) filter (price > 0) + 0.5) as bigint) as max from contracts group by 1)"""
 BUYER = "trim(regexp_replace(regexp_replace(upper(customer), '[\"«»]', '', 'g'), '[^A-Z0-9_ А-ЯЁ]', ' ', 'g'))"
-HISTORY = f"""{B.CONTRACTS}, d as (select * from (select *, row_number() over (partition by reg_no order by theme, seq) as n from contracts) where n = 1),
+BUYERS = f"""d as (select * from (select *, row_number() over (partition by reg_no order by theme, seq) as n from contracts) where n = 1),
 history as (select {BUYER} as buyer, min_by(customer, seq) as customer, count(*) as count, sum(price::decimal(18,2))::double as total, min(date) as first, max(date) as last, cast(floor(sum(price::decimal(18,2))::double / count(*) + 0.5) as bigint) as avg from d group by 1)"""
+HISTORY = f"{B.CONTRACTS}, {BUYERS}"
 
 
 @query("agg6_price_benchmark", f"with {BENCH} select * from bench")
@@ -235,15 +236,22 @@ PAIRS = "pairs as (select x.vec_id as a, y.vec_id as b, round(list_dot_product(x
 REACH = "r(node, seen) as (select distinct a, a from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as component from r group by 1"
 
 
+#: Part names by the number of a vector; pairs of one normal form, or known to belong together, propose nothing new.
+NAMED = """named as (select p_partkey as id, list_sort(list_distinct(string_split(lower(p_name), ' '))) as toks, p_brand as known from part),
+  proposed as (select a, b, sim from pairs left join named x on x.id = a left join named y on y.id = b where sim >= 0.32 and not coalesce(x.toks = y.toks, false) and not coalesce(x.known = y.known, false))"""
+
+
 def _pairs(spark, sf, least):
     return M.similar_pairs(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), least)
 
 
 def _name_pairs(spark, sf):
-    return _pairs(spark, sf, 0.32).where("a % 7 <> b % 7")
+    part = B.table(spark, sf, "part")
+    names = part.select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name"))
+    return M.new_name_pairs(_pairs(spark, sf, 0.32), names, part.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("group")))
 
 
-@query("joi10_name_pairs", f"with {PAIRS} select a, b, sim from pairs where sim >= 0.32 and a % 7 <> b % 7")
+@query("joi10_name_pairs", f"with {PAIRS}, {NAMED} select a, b, sim from proposed")
 def _(spark, sf):
     return _name_pairs(spark, sf)
 
@@ -253,7 +261,7 @@ def _(spark, sf):
     return M.mined_groups(_pairs(spark, sf, 0.3))
 
 
-@query("job8_synonym_groups", f"with recursive {PAIRS}, n as (select a, b from pairs where sim >= 0.32 and a % 7 <> b % 7), e as (select a, b from n union all select b, a from n), {REACH}")
+@query("job8_synonym_groups", f"with recursive {PAIRS}, {NAMED}, n as (select a, b from proposed), e as (select a, b from n union all select b, a from n), {REACH}")
 def _(spark, sf):
     return M.mined_groups(_name_pairs(spark, sf))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlake.plans import q_enrich, q_feed, q_lots, q_match, q_runs, q_sources, q_terms
+from bidlake.plans import q_enrich, q_feed, q_lots, q_match, q_runs, q_sources, q_terms, q_texts
 
-MODULES = (q_match, q_lots, q_feed, q_terms, q_runs, q_sources, q_enrich)
+MODULES = (q_match, q_lots, q_feed, q_terms, q_runs, q_sources, q_enrich, q_texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
