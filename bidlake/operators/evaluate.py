@@ -215,7 +215,7 @@ def requirement_text(operator: Column, req: Column, unit: Column) -> Column:
     """A requirement as listings show it: bounds with their sign, a range with a dash, presence as a word, else the value; with the unit's short name."""
     label = T.unit_label(unit)
     tail = F.when(label != "", F.concat(F.lit(" "), label)).otherwise("")
-    joined = F.array_join(F.transform(as_items(req), lambda x: F.regexp_replace(x["s"], r"(?<=\d)\.0$", "")), "–")
+    joined = F.array_join(F.transform(as_items(req), lambda x: F.when(x["kind"] == "num", F.regexp_replace(x["s"], r"\.0$", "")).otherwise(x["s"])), "–")
     return F.when(operator == "present", "требуется").otherwise(F.concat(F.when(operator == "gte", "≥ ").when(operator == "lte", "≤ ").otherwise(""), T.clipped(joined), tail))
 
 
