@@ -93,17 +93,24 @@ def fit(texts: list[str], labels: np.ndarray, filters: int = 16, width: int = 5,
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, per_class: int = 1500, max_bytes: int = 1 << 15, **options) -> Network:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, per_class: int = 1500, max_bytes: int = 1 << 15, per_class_slabs: int = 3000, **options
+) -> Network:
     """Learns from labelled rows whose id remainder modulo ``folds`` is not ``held``.
 
-    At most ``per_class`` documents of each class, none of over ``max_bytes``, go to the driver for fitting
-    (that bounds the sample; scoring covers whole documents of any length). A fifth of them calibrates
-    the probability to the classes' true shares.
+    At most ``per_class`` documents of each class go to the driver for fitting, those with the smallest hashes. One of
+    over ``max_bytes`` enters in slabs of a quarter as many characters, each with its document's label; of slabs and
+    short documents together ``per_class_slabs`` a class enter, again by hash. That bounds the sample; scoring covers
+    whole documents of any length. A fifth of the documents calibrates the probability to the classes' true shares.
     """
     usable = id_remainder(F.col("doc_id"), folds) != held
     sample, population = labelled_sample(docs, labels, label, usable, per_class)
-    rows = sample.where(F.octet_length("text") <= max_bytes).select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part")).toPandas()
-    rows = rows.sort_values(["doc_id", "label"])
+    size = max_bytes // 4
+    starts = F.when(F.octet_length("text") > max_bytes, F.sequence(F.lit(1), F.length("text"), F.lit(size))).otherwise(F.array(F.lit(1)))
+    slab = F.when(F.octet_length("text") > max_bytes, F.substr(F.col("text"), F.col("start"), F.lit(size))).otherwise(F.col("text"))
+    slabs = sample.select("doc_id", "label", "text", F.explode(starts).alias("start")).select("doc_id", "label", "start", slab.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part"))
+    first = [slabs.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "text").limit(per_class_slabs) for k in (0, 1)]
+    rows = first[0].unionAll(first[1]).toPandas().sort_values(["doc_id", "label", "start"])
     learn, check = rows[rows["part"] > 0], rows[rows["part"] == 0]
     net = fit(learn["text"].tolist(), learn["label"].to_numpy(int), **options)
     logits = np.array([[net.logit(t)] for t in check["text"]]).reshape(-1, 1)
@@ -115,7 +122,8 @@ def score_quality(docs: DataFrame, net: Network, threshold: float = 0.5) -> Data
     """All rows and columns of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on).
 
     Null and empty texts are one chunk of padding and get its score. Columns named score or predicted
-    are replaced. Every row is scored on its own, so repeated rows and null ids are like others.
+    are replaced. Every row is scored on its own, so repeated rows and null ids are like others; an empty table gives
+    an empty result. Very long texts are read whole, their filters in slabs.
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
 

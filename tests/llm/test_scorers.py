@@ -280,3 +280,16 @@ def test_evidence_equals_brute_force_and_repeats_are_alike(spark):
     kept = toxicity.without_toxic(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
     flagged = {(r.doc_id, r.text) for r in toxicity.score_toxicity(docs, models).where("predicted = 1").collect()}
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str((r.doc_id, r.text)) for r in docs.collect() if (r.doc_id, r.text) not in flagged)
+
+
+def test_network_learns_from_long_documents_in_slabs(spark):
+    rng = random.Random(8)
+    text = lambda good, n: " ".join(rng.choice(["calm", "river", "stone"] if good else ["zzz#", "qq$q", "x*x"]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(i % 2, 400)) for i in range(120)] + [(500, None), (501, ""), (502, text(1, 60_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    # Every labelled document is longer than the limit, so all of them enter in slabs.
+    net = quality_cnn.train(docs, labels, max_bytes=1000, epochs=3)
+    scored = {r.doc_id: r for r in quality_cnn.score_quality(docs.withColumns({"Score": F.lit("mine"), "lang": F.lit("x")}), net).collect()}
+    assert len(scored) == 123 and sum(scored[i].predicted == i % 2 for i in range(120)) >= 118 and scored[502].predicted == 1
+    assert set(scored[0].asDict()) == {"doc_id", "text", "lang", "score", "predicted"}
+    assert quality_cnn.score_quality(docs.limit(0), net).count() == 0
