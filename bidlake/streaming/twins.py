@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,18 +71,26 @@ def lockouts(events: DataFrame, failures: int = 5, seconds: int = 900) -> DataFr
     that runs out does not clear the count, so the next failure locks again; success resets it.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        count, until, out = 0, None, []
-        for ts, ok in rows.sort_values("ts")[["ts", "ok"]].itertuples(index=False):
-            if until is not None and ts < until:
-                continue
-            count = 0 if ok else count + 1
-            if count >= failures:
-                until = ts + pd.Timedelta(seconds=seconds)
-                out.append(ts)
-        return pd.DataFrame({"key": [rows["key"].iloc[0]] * len(out), "ts": pd.Series(out, dtype="datetime64[ns]")})
-
-    return events.groupBy("key").applyInPandas(fold, "key long, ts timestamp_ntz")
+    lock = pd.Timedelta(seconds=seconds)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, count, until = None, 0, None
+        for batch in batches:
+            out = []
+            for key, ts, ok in batch.itertuples(index=False):
+                if key != now:
+                    now, count, until = key, 0, None
+                if until is not None and ts < until:
+                    continue
+                count = 0 if ok else count + 1
+                if count >= failures:
+                    until = ts + lock
+                    out.append((key, ts))
+            yield pd.DataFrame(out, columns=["key", "ts"]).astype({"ts": "datetime64[ns]"})
+
+    # A key's events come one after the other in a task, in batches; only three values are kept between them.
+    ordered = events.where("key is not null").select("key", "ts", F.coalesce("ok", F.lit(False)).alias("ok")).repartition("key").sortWithinPartitions("key", "ts")
+    return ordered.mapInPandas(fold, "key long, ts timestamp_ntz")
 
 
 def expiry_notices(rows: DataFrame, sent: DataFrame, now: Column) -> DataFrame:

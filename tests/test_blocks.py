@@ -1,5 +1,6 @@
 """Operators over blocks and ranges against brute force, at sizes that need several of them."""
 
+import datetime
 import random
 
 import numpy as np
@@ -50,3 +51,55 @@ def test_deep_pages_and_large_heads(spark):
     for n in (0, 1, 333, 500, 900):
         assert [r.id for r in search.nearest(rows, n, order, -1).collect()] == want[:n]
     assert search.page(rows.where("id < 0"), order, 3, 60, 0).count() == 0
+
+
+def test_exact_median_over_ranges(spark):
+    random.seed(11)
+    data = [(random.choice(["hot", "hot", "hot", "a", "b", None]), random.choice([None, *range(1, 40)])) for _ in range(900)] + [("one", 7), ("two", 3), ("two", 8), ("none", None)]
+    rows = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in data], "k string, v double").repartition(5)
+    want = {}
+    for key in {k for k, _ in data}:
+        own = sorted(v for k, v in data if k == key and v is not None)
+        if own:
+            want[key] = float(np.median(own))
+    assert {r.k: r.median for r in terms.exact_median(rows, "k", "v").collect()} == want
+    assert terms.exact_median(rows.where("v < 0"), "k", "v").count() == 0
+
+
+def test_lockouts_of_the_events_table_against_a_loop(spark):
+    from bidlake.plans import registry
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value").collect()
+    want, state = [], {}
+    for user, ts, value in sorted((r.user_id, r.ts, r.value) for r in rows):
+        count, until = state.get(user, (0, None))
+        if until is None or (ts - until).total_seconds() >= 0:
+            count = 0 if value > 60 else count + 1
+            if count >= 3:
+                until = ts + datetime.timedelta(seconds=86_400)
+                want.append((user, ts))
+            state[user] = (count, until)
+    got = registry.queries()["str6_lockouts"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
+def test_reset_positions_of_the_turns_against_a_loop(spark):
+    from bidlake.plans import registry
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want, by_doc = [], {}
+    for r in rows:
+        by_doc.setdefault(r.conv_id, []).append((r.text or "" if r.role == "user" else "", str(len(r.text or "") % 6)))
+    for doc, turns in by_doc.items():
+        name, groups, last = "", [], None
+        for own, key in turns:
+            name = own or name
+            if not name:
+                continue
+            if name != last or key in groups[-1]:
+                groups.append([])
+            groups[-1].append(key)
+            last = name
+        want += [(doc, i, ",".join(g)) for i, g in enumerate(g for g in groups if len(g) >= 2)]
+    got = registry.queries()["rnk7_reset_positions"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
