@@ -58,23 +58,28 @@ def fill_positions(rows: DataFrame) -> DataFrame:
 
 
 def positions_with_reset(rows: DataFrame, least: int = 2) -> DataFrame:
-    """doc, pos, keys: a position starts when the name changes or a key comes again in it; ones of under ``least`` keys go.
+    """doc, pos, name, keys and cells: a position starts when the name changes or a key comes again in it; ones of under ``least`` keys go.
 
-    The start depends on what the position holds so far, so the ordered rows of a document are folded
-    (a document's table has bounded rows; documents are spread over the cluster).
+    rows: doc, row_no, name, key, and value where cells are wanted with theirs. The start depends on what the position
+    holds so far, so the ordered rows of a document are folded (a document's table has bounded rows; documents are
+    spread over the cluster).
     """
-    cell = F.struct("row_no", "name", "key")
+    value = F.col("value") if "value" in rows.columns else F.lit(None).cast("string")
+    cell = F.struct("row_no", "name", "key", value.alias("value"))
     per = rows.groupBy("doc").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    empty = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("keys"), F.lit(None).cast("string").alias("name"))
+    kind = "struct<name:string,cells:array<struct<key:string,value:string>>>"
+    empty = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = ~acc["name"].eqNullSafe(x["name"]) | F.array_contains(acc["keys"], x["key"])
-        done = F.when(fresh & (F.size(acc["keys"]) > 0), F.concat(acc["done"], F.array(acc["keys"]))).otherwise(acc["done"])
-        keys = F.when(fresh, F.array(x["key"])).otherwise(F.concat(acc["keys"], F.array(x["key"])))
-        return F.struct(done.alias("done"), keys.alias("keys"), x["name"].alias("name"))
+        own, held = F.struct(x["key"].alias("key"), x["value"].alias("value")), acc["open"]
+        fresh = held.isNull() | ~held["name"].eqNullSafe(x["name"]) | F.exists(held["cells"], lambda c: c["key"].eqNullSafe(x["key"]))
+        done = F.when(fresh & held.isNotNull(), F.concat(acc["done"], F.array(held))).otherwise(acc["done"])
+        cells = F.when(fresh, F.array(own)).otherwise(F.concat(held["cells"], F.array(own)))
+        return F.struct(done.alias("done"), F.struct(x["name"].alias("name"), cells.alias("cells")).alias("open"))
 
-    folded = per.select("doc", F.aggregate("cells", empty, step, lambda a: F.concat(a["done"], F.array(a["keys"]))).alias("groups"))
-    return folded.select("doc", F.posexplode(F.filter("groups", lambda g: F.size(g) >= least)).alias("pos", "keys"))
+    folded = per.select("doc", F.aggregate("cells", empty, step, lambda a: F.concat(a["done"], F.array(a["open"]))).alias("groups"))
+    rows = folded.select("doc", F.posexplode(F.filter("groups", lambda g: F.size(g["cells"]) >= least)).alias("pos", "g"))
+    return rows.select("doc", "pos", "g.name", F.transform("g.cells", lambda c: c["key"]).alias("keys"), F.col("g.cells").alias("cells"))
 
 
 def without_repeats(positions: DataFrame, least: int = 3) -> DataFrame:
@@ -84,9 +89,14 @@ def without_repeats(positions: DataFrame, least: int = 3) -> DataFrame:
     return rows.where(~F.col("keys").eqNullSafe(F.col("before"))).drop("before")
 
 
+# Fixed values that must equal the reference's: keys that are a customer's details and no characteristics.
+JUNK_KEY = r"(?iu)заказчик|адрес|почт|тел\.|факс|(?<![\p{L}\p{N}_])инн(?![\p{L}\p{N}_])|огрн|кпп|литер|e-?mail|@"
+
+
 def quality_gate(keys: DataFrame, most_junk: float = 0.5) -> DataFrame:
-    """Documents whose keys are under ``most_junk`` junk (numbers alone); ones without keys don't pass. keys: doc, key."""
-    return keys.groupBy("doc").agg(F.avg(F.col("key").rlike(r"^[\d\s.,]+$").cast("int")).alias("junk")).where(F.col("junk") < most_junk)
+    """Documents whose keys are under ``most_junk`` junk (numbers alone, a customer's details); ones without keys don't pass. keys: doc, key."""
+    junk = F.col("key").rlike(r"^[\d\s.,]+$") | F.col("key").rlike(JUNK_KEY)
+    return keys.groupBy("doc").agg(F.avg(junk.cast("int")).alias("junk")).where(F.col("junk") < most_junk)
 
 
 # Fixed values that must equal the reference's: dates, durations and their phrases, and what announces a contract's term, in the order they are tried.
