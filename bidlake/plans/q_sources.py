@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import new_path
+from bidlake.operators import enrich as N
 from bidlake.operators import specs as P
 from bidlake.plans import bindings as B
 from bidlake.sources import extract as X
@@ -73,7 +74,8 @@ def _(spark, sf):
   select id, coalesce(arg_min(name, place) filter (status = 'ok'), arg_max(name, place)) as name, coalesce(min(status) filter (status = 'ok'), arg_max(status, place)) as status from c group by id""")
 def _(spark, sf):
     kind = F.when(F.length("uid") % 3 == 0, "ok").when(F.length("uid") % 3 == 1, "empty").otherwise("error")
-    return X.fall_through(attachments(spark, sf).select(F.col("page_id").alias("id"), F.col("n").alias("place"), F.col("uid").alias("name"), kind.alias("status")))
+    tried = attachments(spark, sf).where(F.col("n") <= N.TRIES).select(F.col("page_id").alias("id"), F.col("n").alias("place"), F.col("uid").alias("name"), kind.alias("status"))
+    return N.fall_through(tried).select("id", "name", "status")
 
 
 SPEC = "rows as (select conv_id as doc, turn as row_no, case when role = 'user' then coalesce(text, '') else '' end as name, length(coalesce(text, '')) % 6 || '' as key from conversations)"

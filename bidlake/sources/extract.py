@@ -67,16 +67,6 @@ def hopeful_attachment(name: Column) -> Column:
     return F.lower(name).rlike(r"\.docx$") | ~name.rlike(r"\.[A-Za-z0-9]{2,4}$")
 
 
-def fall_through(candidates: DataFrame, most: int = 4) -> DataFrame:
-    """Per listing the first candidate that worked among its first ``most``; otherwise the last failure. candidates: id, place, name, status."""
-    w = Window.partitionBy("id").orderBy("place")
-    rows = candidates.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    ok = F.min_by(F.struct("name", "status"), F.when(F.col("status") == "ok", F.col("n")))
-    out = rows.groupBy("id").agg(ok.alias("ok"), F.count_if(F.col("status") == "ok").alias("hits"), F.max_by(F.struct("name", "status"), "n").alias("last"))
-    chosen = F.when(F.col("hits") > 0, F.col("ok")).otherwise(F.col("last"))
-    return out.select("id", chosen["name"].alias("name"), chosen["status"].alias("status"))
-
-
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Product cards, one JSON file each: products and their attributes in card order; values keep their JSON spelling."""
     cards = spark.read.schema("id string, name string, ktru array<string>, attributes array<struct<key:string,value:string,status:string,doc:string>>").json(path, multiLine=True)
