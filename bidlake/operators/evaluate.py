@@ -226,6 +226,14 @@ def signed_text(operator: Column, req: Column, unit: Column) -> Column:
     return F.trim(F.concat_ws(" ", sign, F.coalesce(short_text(req), F.lit("")), F.coalesce(unit, F.lit(""))))
 
 
+def notes(checks: DataFrame) -> DataFrame:
+    """``checks`` with ``note``: what the product has and what is required where it fails, what to supply where it is missing; null where it passes."""
+    wanted = signed_text(F.col("operator"), F.col("req"), F.col("req_unit"))
+    failed = F.concat(F.lit("товар: "), short_text(F.col("attr")), F.lit(", требуется: "), wanted)
+    missing = F.concat(F.lit("указать/подтвердить: "), F.col("key"), F.lit(" ("), wanted, F.lit(")"))
+    return checks.withColumn("note", F.when(F.col("status") == VIOLATION, failed).when(F.col("status") == GAP, missing))
+
+
 def gap_list(checks: DataFrame, on: list[str]) -> DataFrame:
     """What a client may still fill in: ``on``, gap_keys, in the same order the requirements' texts, and of failed ones key, the product's value and the requirement."""
     ordered = lambda told, value: F.transform(F.array_sort(F.collect_list(F.when(told, F.struct("req_idx", value.alias("v"))))), lambda x: x["v"])

@@ -27,6 +27,13 @@ def published_days_ago(begin: Column, now: Column) -> Column:
     return F.greatest(T.js_round(_days(now, begin)), F.lit(0)).cast("int")
 
 
+def remaining(end: Column, now: Column) -> Column:
+    """Whole days, hours and minutes that are left to the end; null without one, zeros once it has passed."""
+    left = F.greatest(F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 60_000_000), F.lit(0))
+    part = lambda size, of: F.floor(left / size) % of if of else F.floor(left / size)
+    return F.when(end.isNotNull(), F.struct(part(1440, 0).cast("int").alias("days"), part(60, 24).cast("int").alias("hours"), part(1, 60).cast("int").alias("minutes")))
+
+
 def in_regions(region: Column, wanted: list[str]) -> Column:
     """Membership; an empty list passes everything."""
     return region.isin(*wanted) if wanted else F.lit(True)

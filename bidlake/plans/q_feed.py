@@ -46,6 +46,15 @@ def _(spark, sf):
     return B.listings(spark, sf).where(S.in_regions(F.col("region"), ["FRANCE", "NATION_3", "CHINA"])).select("id", "region")
 
 
+MINUTES = f"greatest(floor((epoch_us(end_ts + to_minutes(id % 1440)) - epoch_us({NOW})) / 60000000), 0)::bigint"
+
+
+@query("sca4_remaining", W + f", m as (select id, case when end_ts is not null then {MINUTES} end as left_over from listings) select id, cast(left_over // 1440 as integer) as days, cast(left_over // 60 % 24 as integer) as hours, cast(left_over % 60 as integer) as minutes from m")
+def _(spark, sf):
+    end = F.col("end_ts") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 1440).cast("int"))
+    return B.listings(spark, sf).select("id", S.remaining(end, B.now()).alias("left")).select("id", "left.*")
+
+
 @query("flt3_deadline_window", W + f"select id, end_ts from listings where coalesce({DAYS} between 1 and 29, false)")
 def _(spark, sf):
     return B.listings(spark, sf).where(S.in_window(F.col("end_ts"), B.now())).select("id", "end_ts")

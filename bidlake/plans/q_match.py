@@ -99,6 +99,16 @@ def _(spark, sf):
     return prints.groupBy("content_hash").agg(F.min(F.col("purchase_id") * 1000 + F.col("pos")).alias("first"), F.count(F.lit(1)).alias("n")).drop("content_hash")
 
 
+WRITTEN = """texts as (select purchase_id, pos, req_idx, status, key, case key when 'size' then '≥ ' || l_quantity::integer when 'retailprice' then 'диапазон ' || (want_price - 40) || '..' || (want_price + 40) when 'type' then '= ' || want_type
+      when 'brand' then 'одно из [' || chr(39) || want_brand || chr(39) || ', ' || chr(39) || 'Brand#' || l_linenumber || chr(39) || ']' else 'наличие True' end as wanted,
+    case key when 'size' then size || '' when 'retailprice' then regexp_replace(p_retailprice || '', '[.]0$', '') when 'type' then p_type when 'brand' then p_brand else p_name end as own from checks join offers using (purchase_id, pos, product_id))"""
+
+
+@query("e14_notes", f"with {B.CHECKS}, {WRITTEN} select purchase_id, pos, req_idx, case status when 'violation' then 'товар: ' || own || ', требуется: ' || wanted when 'gap' then 'указать/подтвердить: ' || key || ' (' || wanted || ')' end as note from texts")
+def _(spark, sf):
+    return E.notes(B.checks(spark, sf)).select("purchase_id", "pos", "req_idx", "note")
+
+
 MAPPED = """mapped as (select *, case when p_size % 3 = 0 and key = 'brand' then 'type' when p_size % 3 = 1 and key = 'size' then 'retailprice' when p_size % 3 = 2 and key = 'type' then 'brand' end as new_key,
     case when p_size % 3 = 0 and key = 'brand' then lower(p_type) in (lower(want_brand), 'brand#' || l_linenumber) when p_size % 3 = 1 and key = 'size' then p_retailprice >= l_quantity
       when p_size % 3 = 2 and key = 'type' then contains(lower(p_brand), lower(want_type)) or contains(lower(want_type), lower(p_brand)) end as new_ok from checks join offers using (purchase_id, pos, product_id) join (select p_partkey, p_size from part) p on p.p_partkey = product_id),
@@ -127,11 +137,6 @@ def _(spark, sf):
     return E.evaluate(E.meet_attributes(B.requirements(spark, sf), filled)).groupBy("key", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-WRITTEN = """texts as (select purchase_id, pos, req_idx, status, key, case key when 'size' then '≥ ' || l_quantity::integer when 'retailprice' then 'диапазон ' || (want_price - 40) || '..' || (want_price + 40) when 'type' then '= ' || want_type
-      when 'brand' then 'одно из [' || chr(39) || want_brand || chr(39) || ', ' || chr(39) || 'Brand#' || l_linenumber || chr(39) || ']' else 'наличие True' end as wanted,
-    case key when 'size' then size || '' when 'retailprice' then regexp_replace(p_retailprice || '', '[.]0$', '') when 'type' then p_type when 'brand' then p_brand else p_name end as own from checks join offers using (purchase_id, pos, product_id))"""
-
-
 @query("ev3_gap_keys", f"""with {B.CHECKS}, {WRITTEN} select purchase_id, pos, coalesce(string_agg(key, '; ' order by req_idx) filter (status = 'gap'), '') as gap_keys, coalesce(string_agg(wanted, '; ' order by req_idx) filter (status = 'gap'), '') as wanted,
   coalesce(string_agg(key || ': ' || own, '; ' order by req_idx) filter (status = 'violation'), '') as failed from texts group by all having count(*) filter (status <> 'pass') > 0""")
 def _(spark, sf):

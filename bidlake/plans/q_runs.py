@@ -230,6 +230,15 @@ def _(spark, sf):
     return back.select("id", "title", F.size("documents").cast("long").alias("docs"), F.get("terms", F.lit(0)).alias("term"))
 
 
+@query("src12_lots", f"with {B.LISTINGS}, n as (select id, unnest(case when id % 3 = 0 then [0] when id % 3 = 1 then [1] else [1, 2] end) as i from listings) select id, i, case when i = 0 then title else region || i end as name, case when i > 0 then id % 9 * 1.0::double end as qty, case when i = 0 then price else price / i end as price from listings join n using (id)")
+def _(spark, sf):
+    k = F.col("id")
+    lot = lambda i: F.struct(F.concat("region", F.lit(str(i))).alias("name"), (k % 9).cast("double").alias("qty"), F.lit("шт").alias("unit"), (F.col("price") / i).alias("price"))
+    lots = F.when(k % 6 == 0, F.array().cast("array<struct<name:string,qty:double,unit:string,price:double>>")).when(k % 3 == 1, F.array(lot(1))).when(k % 3 == 2, F.array(lot(1), lot(2)))
+    rows = N.with_lots(B.listings(spark, sf).withColumn("lots", lots)).select("id", F.posexplode("lots").alias("i", "lot"))
+    return rows.select("id", F.when(k % 3 > 0, F.col("i") + 1).otherwise(0).alias("i"), "lot.name", "lot.qty", "lot.price")
+
+
 @query("joi11_sidecars", f"with {B.LISTINGS}, s as (select id, count(*) as n from listings where id % 3 > 0 group by 1) select l.id, coalesce(s.n, 0) as n from listings l left join s using (id)")
 def _(spark, sf):
     rows = B.listings(spark, sf).select("id")

@@ -137,14 +137,22 @@ def _(spark, sf):
     return P.quality_gate(rows).select("doc")
 
 
-@query("src7_portal_json", """select 'pp_' || o_orderkey as id, c_name as customer, case when o_orderkey % 3 = 0 then 0 else o_totalprice end as price, cast(case when o_orderkey % 4 > 0 then greatest(o_orderkey % 4, o_orderkey % 9) end as integer) as delivery_days, strftime(o_orderdate, '%Y-%m-%d') || ' 23:59' as end_text
+@query("src7_portal_json", """select 'pp_' || o_orderkey as id, 'N' || o_custkey as number, c_name as customer, case when o_orderkey % 3 = 0 then 0 else o_totalprice end as price, cast(case when o_orderkey % 4 > 0 then greatest(o_orderkey % 4, o_orderkey % 9) end as integer) as delivery_days,
+  strftime(o_orderdate, '%Y-%m-%d') || ' 23:59' as end_text, case when o_orderkey % 5 = 0 then 0 else 1 + (o_orderkey % 2) end as lots, case when o_orderkey % 5 > 0 then o_orderpriority end as lot_name, case when o_orderkey % 5 > 0 then (o_orderkey % 7)::double end as lot_qty, case when o_orderkey % 5 > 0 then o_totalprice end as lot_price
   from orders join customer on c_custkey = o_custkey""")
 def _(spark, sf):
     k = F.col("o_orderkey")
     days = lambda n: F.struct((k % n).cast("int").alias("days"))
     rows = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    body = F.to_json(F.struct(k.alias("id"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("endDate"), F.when(k % 3 > 0, F.col("o_totalprice")).alias("startCost"), F.array(F.struct(F.col("c_name").alias("name"))).alias("customers"), F.when(k % 4 > 0, F.array(days(4), days(9))).alias("deliveries")))
-    return X.normalize_portal(rows.select(body.alias("j")), "j").select("id", "customer", "price", "delivery_days", F.date_format("end_ts", "yyyy-MM-dd HH:mm").alias("end_text"))
+    item = F.struct(F.col("o_orderpriority").alias("name"), (k % 7).cast("double").alias("qty"), F.lit("шт").alias("unit"), F.col("o_totalprice").alias("cost"))
+    items = F.when(k % 5 == 0, F.slice(F.array(item), 1, 0)).when(k % 2 == 0, F.array(item)).otherwise(F.array(item, item))
+    body = F.struct(
+        k.alias("id"), F.concat(F.lit("N"), "o_custkey").alias("number"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("endDate"), F.when(k % 3 > 0, F.col("o_totalprice")).alias("startCost"),
+        F.array(F.struct(F.col("c_name").alias("name"))).alias("customers"), items.alias("items"), F.when(k % 4 > 0, F.array(days(4), days(9))).alias("deliveries"),
+    )
+    out = X.normalize_portal(rows.select(F.to_json(body).alias("j")), "j").withColumn("lot", F.get("lots", F.lit(0)))
+    shown = [F.col("lot.name").alias("lot_name"), F.col("lot.qty").alias("lot_qty"), F.col("lot.price").alias("lot_price")]
+    return out.select("id", "number", "customer", "price", "delivery_days", F.date_format("end_ts", "yyyy-MM-dd HH:mm").alias("end_text"), F.size("lots").alias("lots"), *shown)
 
 
 @query("src8_aggregator_json", "select p_partkey || '' as id, p_name as subject, case when p_partkey % 2 = 0 then 1 else 2 end + case when p_partkey % 3 = 0 then 1 else 0 end as codes, p_size + 0.5 as price, case when p_partkey % 5 = 0 then p_type else p_brand end as place from part")

@@ -32,6 +32,12 @@ def read_snapshot(spark, path: str) -> DataFrame:
     return rows.withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
 
 
+def with_lots(rows: DataFrame) -> DataFrame:
+    """Listings whose lots are missing or empty get one, made of their title and price. lots: array of name, qty, unit, price."""
+    lot = F.struct(F.col("title").alias("name"), F.lit(None).cast("double").alias("qty"), F.lit("").alias("unit"), F.col("price").cast("double").alias("price"))
+    return rows.withColumn("lots", F.when(F.coalesce(F.size("lots"), F.lit(0)) > 0, F.col("lots")).otherwise(F.array(lot)))
+
+
 def round_trip(rows: DataFrame) -> DataFrame:
     path = new_path(rows.sparkSession, "snapshot")
     write_snapshot(rows, path, "1")

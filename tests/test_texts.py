@@ -61,3 +61,23 @@ def test_new_name_pairs(spark):
     names = spark.createDataFrame([(1, "Red ring"), (2, "ring, red"), (3, "bolt")], "item int, name string")
     known = spark.createDataFrame([(2, "g"), (3, "g"), (1, "h")], "item int, `group` string")
     assert sorted((r.a, r.b) for r in M.new_name_pairs(pairs, names, known).collect()) == [(1, 3), (3, 4)]
+
+
+def test_remaining_time_and_lots(spark):
+    from bidlake.operators.search import remaining
+    from bidlake.sources.snapshots import with_lots
+
+    at = lambda *x: dt.datetime(2024, 1, *x)
+    ends = [(1, at(3, 5, 7, 59)), (2, at(1)), (3, None), (4, at(1, 0, 0, 30))]
+    rows = spark.createDataFrame(ends, "i int, e timestamp_ntz").select("i", remaining(F.col("e"), F.lit(at(1, 0, 0, 0)).cast("timestamp_ntz")).alias("r"))
+    assert {r.i: tuple(r.r) if r.r else None for r in rows.collect()} == {1: (2, 5, 7), 2: (0, 0, 0), 3: None, 4: (0, 0, 0)}
+    lots = spark.createDataFrame([(1, "t", 5.0, None), (2, "t", 5.0, []), (3, "t", 5.0, [("a", 1.0, "шт", 2.0)])], "id int, title string, price double, lots array<struct<name:string,qty:double,unit:string,price:double>>")
+    assert {r.id: [tuple(x) for x in r.lots] for r in with_lots(lots).collect()} == {1: [("t", None, "", 5.0)], 2: [("t", None, "", 5.0)], 3: [("a", 1.0, "шт", 2.0)]}
+
+
+def test_notes_say_what_is_missing(spark):
+    one = spark.range(1)
+    v = lambda x: E.value_of("num", F.lit(x)).cast(E.VALUE)
+    row = lambda status, own: one.select(F.lit("длина").alias("key"), F.lit("gte").alias("operator"), v(5.0).alias("req"), F.lit("мм").alias("req_unit"), own.alias("attr"), F.lit(status).alias("status"))
+    rows = row("violation", v(3.5)).union(row("gap", F.lit(None).cast(E.VALUE))).union(row("pass", v(6.0)))
+    assert [r.note for r in E.notes(rows).collect()] == ["товар: 3.5, требуется: ≥ 5 мм", "указать/подтвердить: длина (≥ 5 мм)", None]
