@@ -95,13 +95,17 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
     op, req, attr = F.col("operator"), F.col("req"), F.col("attr")
     table = F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*[F.lit(i).cast("long") for i in v]))]) if groups else None
     none = F.array().cast("array<bigint>")
+    known = bool(groups) or "req_groups" in pairs.columns and "attr_groups" in pairs.columns
 
     def grouped(v: Column, name: str) -> Column:
-        """The items of a value, each with its groups ``g``."""
-        own = (lambda x, i: F.try_element_at(table, normal(x["s"]))) if groups else (lambda x, i: F.get(F.col(name), i)) if name in pairs.columns else (lambda x, i: none)
-        return F.transform(as_items(v), lambda x, i: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["d"].alias("d"), x["b"].alias("b"), F.coalesce(own(x, i), none).alias("g")))
-
-    related = lambda y, x: F.coalesce(F.arrays_overlap(y["g"], x["g"]), F.lit(False))
+        """The items of a value, each with its groups ``g`` where there are any."""
+        if not known:
+            return F.coalesce(as_items(v), F.array().cast(f"array<{ITEM}>"))
+        own = (lambda x, i: F.try_element_at(table, normal(x["s"]))) if groups else (lambda x, i: F.get(F.col(name), i))
+        items = F.transform(as_items(v), lambda x, i: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["d"].alias("d"), x["b"].alias("b"), F.coalesce(own(x, i), none).alias("g")))
+        return F.coalesce(items, F.array().cast(f"array<{GROUPED}>"))
+
+    related = lambda y, x: F.coalesce(F.arrays_overlap(y["g"], x["g"]), F.lit(False)) if known else F.lit(False)
     match = lambda y, x: (T.fold(y["s"]) == T.fold(x["s"])) | related(y, x)
     contained = lambda a, r: (a == r) | F.contains(a, r) | F.contains(r, a)
     text_equal = lambda y, x: contained(normal(y["s"]), normal(x["s"])) | related(y, x)
@@ -121,15 +125,15 @@ def evaluate(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) ->
         return F.when(same, x["n"] * T.unit_scale(u) / T.unit_scale(r)).when((T.fold(u) == T.fold(r)) | (u == "") | (r == ""), x["n"])
 
     many = lambda v: F.size(F.regexp_extract_all(v["s"], F.lit(f"({T.NUMBER})"))) > 1
-    rows = pairs.withColumns({"attr_items": F.coalesce(grouped(attr, "attr_groups"), F.array().cast(f"array<{GROUPED}>")), "req_items": F.coalesce(grouped(req, "req_groups"), F.array().cast(f"array<{GROUPED}>")), "req_u": req_unit, "req_n": req_number})
+    rows = pairs.withColumns({"attr_items": grouped(attr, "attr_groups"), "req_items": grouped(req, "req_groups"), "req_u": req_unit, "req_n": req_number})
     rows = rows.withColumn("candidates", F.when(op.isin("gte", "lte", "range"), F.filter(F.transform(F.concat(own, product), converted), lambda n: n.isNotNull())))
     # A number whose unit doesn't go together with the requirement's fails it; no number at all is a gap.
     rows = rows.withColumn("has_number", F.exists(own, lambda x: x["n"].isNotNull()) | (F.size(product) > 0))
     a, r, cands = F.col("attr_items"), F.col("req_items"), F.col("candidates")
     all_found = F.forall(r, lambda x: F.exists(a, lambda y: match(y, x)))
     any_listed = F.exists(a, lambda y: F.exists(r, lambda x: match(y, x)))
-    whole = F.struct(req["s"].alias("s"), F.when(req["kind"] == "list", none).otherwise(F.get(r, F.lit(0))["g"]).alias("g"))
-    own_text = F.struct(attr["s"].alias("s"), F.when(attr["kind"] == "list", none).otherwise(F.get(a, F.lit(0))["g"]).alias("g"))
+    scalar = lambda v, items: F.struct(v["s"].alias("s"), *([F.when(v["kind"] == "list", none).otherwise(F.get(items, F.lit(0))["g"]).alias("g")] if known else []))
+    whole, own_text = scalar(req, r), scalar(attr, a)
     any_equal = F.exists(a, lambda y: match(y, whole) | text_equal(y, whole))
     reply = lambda ok: F.when(F.col("has_number"), ok)
     bound = lambda compare: F.when(F.col("req_n").isNull(), None).otherwise(reply(F.exists(cands, lambda n: compare(n, F.col("req_n")))))
