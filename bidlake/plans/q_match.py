@@ -275,21 +275,21 @@ def _(spark, sf):
 @query(
     "job5_funnel_verdicts",
     f"""with {B.VERDICTS}, {B.LISTINGS}, {B.CODES[len(B.POSITIONS) + 2 :]}, {RELATION},
-    relevant as (select id from listings where not regexp_matches(lower(title), '(^|[^a-z0-9_])low') and (starts_with(source, 'src1') or regexp_matches(lower(title), '(^|[^a-z0-9_])(urgent|high)')))
-    select purchase_id, pos, product_id, score, verdict from verdicts join listings on id = purchase_id join relevant using (id) join (select distinct purchase_id, pos, product_id from related) using (purchase_id, pos, product_id)
+    relevant as (select id from listings where not regexp_matches(lower(title), '(^|[^a-z0-9_])low') and (starts_with(source, 'src') or regexp_matches(lower(title), '(^|[^a-z0-9_])(urgent|high)')))
+    select purchase_id, pos, product_id, score, verdict from verdicts join listings on id = purchase_id join relevant using (id) join (select distinct purchase_id, pos from related) using (purchase_id, pos)
     where coalesce((epoch_us(end_ts) - epoch_us(TIMESTAMP '{B.NOW}')) / 86400000000.0 between 1 and 29, false) and region not in ('NATION_1', 'NATION_2')""",
 )
 def _(spark, sf):
     from bidlake.operators import search as S
 
     rows = B.listings(spark, sf).withColumnsRenamed({"title": "subject", "source": "code"})
-    relevant = S.relevance(rows, ["src1"], ["urgent", "high"], ["low"])
+    relevant = S.relevance(rows, ["src"], ["urgent", "high"], ["low"])
     near = relevant.where(S.in_window(F.col("end_ts"), B.now()) & ~F.col("region").isin("NATION_1", "NATION_2")).select(F.col("id").alias("purchase_id"))
     keys = ["purchase_id", "pos", "product_id"]
-    # Of what is left only offers whose code is related to the position's are worth judging.
+    # Of what is left only positions whose code is related to some product's are worth judging.
     left, right = L.code_sets(B.product_codes(spark, sf), ["product_id"]), L.code_sets(B.position_codes(spark, sf), keys)
-    offers = right.withColumnRenamed("codes", "r_codes").join(near, "purchase_id", "left_semi").join(left.withColumnRenamed("codes", "l_codes"), "product_id")
-    pairs = offers.join(L.set_relation(left, right), ["l_codes", "r_codes"], "left_semi").select(*keys)
+    offers = right.withColumnRenamed("codes", "r_codes").join(near, "purchase_id", "left_semi")
+    pairs = offers.join(L.set_relation(left, right), "r_codes", "left_semi").select(*keys)
     requirements = B.requirements(spark, sf).join(pairs, keys, "left_semi")
     checks = E.evaluate(E.meet_attributes(requirements, B.attributes(spark, sf)))
     return E.verdicts(pairs, checks, keys).select(*keys, "score", "verdict")
