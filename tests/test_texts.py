@@ -81,3 +81,10 @@ def test_notes_say_what_is_missing(spark):
     row = lambda status, own: one.select(F.lit("длина").alias("key"), F.lit("gte").alias("operator"), v(5.0).alias("req"), F.lit("мм").alias("req_unit"), own.alias("attr"), F.lit(status).alias("status"))
     rows = row("violation", v(3.5)).union(row("gap", F.lit(None).cast(E.VALUE))).union(row("pass", v(6.0)))
     assert [r.note for r in E.notes(rows).collect()] == ["товар: 3.5, требуется: ≥ 5 мм", "указать/подтвердить: длина (≥ 5 мм)", None]
+
+
+def test_notes_spell_lists_as_they_are(spark):
+    number = lambda x: F.struct(F.lit("num").alias("kind"), F.lit(str(x)).alias("s"), F.lit(x).alias("d"), F.lit(None).cast("boolean").alias("b"))
+    price = F.struct(F.lit("list").alias("kind"), F.lit("860.0..940.0").alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b"), F.array(number(860.0), number(940.0)).alias("items")).cast(E.VALUE)
+    row = spark.range(1).select(price.alias("v"), E.value_of("num", F.lit(940.0)).alias("n"))
+    assert tuple(row.select(E.signed_text(F.lit("range"), F.col("v"), F.lit("")), E.short_text(F.col("n"))).first()) == ("диапазон 860.0..940.0", "940")
