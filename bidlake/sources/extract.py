@@ -46,9 +46,10 @@ def extract_contracts(pages: DataFrame, marker: str, rules: dict[str, list[str]]
     return rows.where((F.coalesce("customer", F.lit("")) != "") & (F.col("price") > 0))
 
 
-def extract_fields(pages: DataFrame, fields: dict[str, str], html: str = "html") -> DataFrame:
-    """Label to value pairs of a card page as columns; each field is a pattern, an absent one null."""
-    return pages.select("page_id", *[F.nullif(T.strip_tags(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), p, 1)), F.lit("")).alias(n) for n, p in fields.items()])
+def extract_fields(pages: DataFrame, fields: dict[str, str], html: str = "html", entities: tuple[tuple[str, str], ...] = T.ENTITIES) -> DataFrame:
+    """Label to value pairs of a card page as columns; each field is a pattern, an absent one null; ``entities`` are those decoded."""
+    text = lambda p: T.strip_tags(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), p, 1), entities)
+    return pages.select("page_id", *[F.nullif(text(p), F.lit("")).alias(n) for n, p in fields.items()])
 
 
 def extract_attachments(pages: DataFrame, uid: str, html: str = "html", most: int = 20, longest: int = 160) -> DataFrame:

@@ -88,3 +88,10 @@ def test_notes_spell_lists_as_they_are(spark):
     price = F.struct(F.lit("list").alias("kind"), F.lit("860.0..940.0").alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b"), F.array(number(860.0), number(940.0)).alias("items")).cast(E.VALUE)
     row = spark.range(1).select(price.alias("v"), E.value_of("num", F.lit(940.0)).alias("n"))
     assert tuple(row.select(E.signed_text(F.lit("range"), F.col("v"), F.lit("")), E.short_text(F.col("n"))).first()) == ("диапазон 860.0..940.0", "940")
+
+
+def test_fields_decode_the_entities_asked_for(spark):
+    page = spark.createDataFrame([(1, "<b>a &lt; &quot;b&quot; &amp;lt;</b>")], "page_id int, html string")
+    pattern = {"t": "<b>([^<]*)</b>"}
+    assert X.extract_fields(page, pattern).first().t == 'a < "b" &lt;'
+    assert X.extract_fields(page, pattern, entities=T.MARKUP).first().t == "a < &quot;b&quot; &lt;"
