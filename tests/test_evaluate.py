@@ -108,3 +108,27 @@ def test_fingerprint_ignores_order(spark):
     rows = rows.select("id", "key", "operator", E.value_of("num", F.col("v").cast("double")).alias("req"), F.lit("").alias("req_unit"))
     got = {r.id: r.content_hash for r in E.fingerprint(rows, ["id"]).collect()}
     assert got["p"] == got["q"] != got["r"]
+
+
+def test_lists_meet_cards_as_requirements_do(spark):
+    v = lambda x: E.value_of("str", x).cast(E.VALUE)
+    own = spark.createDataFrame([(1, "a", 2, "late"), (1, "a", 1, "first"), (1, "b", 3, None), (2, "c", 0, "c")], "product_id int, key string, attr_idx int, t string").select("product_id", "key", "attr_idx", v(F.col("t")).alias("attr"), F.lit("declared").alias("attr_status"))
+    lines = spark.createDataFrame([(1, 1, "x"), (2, 2, "y"), (3, 3, "z"), (4, None, "n")], "line int, product_id int, t string")
+    wants = F.array(*[F.struct(F.lit(i).alias("req_idx"), F.lit(k).alias("key"), v(F.col("t")).alias("req")) for i, k in enumerate("abc")])
+    mapping = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (2, "a", "q")], "product_id int, key string, new_key string")
+    rows = E.spread(lines, wants)
+    names = ["line", "req_idx", "key", "req.s", "attr.s", "attr_status"]
+    plain = lambda df, *more: sorted(map(str, df.select(*names, *more).collect()))
+    assert plain(E.meet_lists(lines, wants, own)) == plain(E.meet_attributes(rows, own)) and E.meet_lists(lines, wants, own).count() == 12
+    moved = ("remapped", "remap_locked")
+    assert plain(E.meet_lists(lines, wants, own, mapping, ["a"]), *moved) == plain(E.meet_attributes(E.apply_mapping(rows, mapping, ["a"]), own), *moved)
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    from bidlake.plans import registry
+
+    for name in ("agg1_verdicts", "ev1_apply_mapping", "ev5_harden_critical", "joi19_link_verdicts", "joi6_synonym_groups"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        grown = [line for line in joins if any(key in line for key in ("product_id", "purchase_id", "suppkey", "custkey"))]
+        assert "SortMergeJoin" in plan and not grown, (name, grown)
