@@ -87,3 +87,26 @@ def test_feeds_as_a_format(spark, tmp_path):
         assert rows.where("source = 'nowhere'").count() == 0
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_coverage_judges_equal_positions_and_cards_once(spark):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from bidlake.functions.shared import shared_dir
+    from bidlake.operators import characteristics as C
+    from bidlake.operators import evaluate as E
+
+    folder = shared_dir(spark).removeprefix("file://")
+    seen = set(glob.glob(f"{folder}/card_pairs-*"))
+    cells = [("Размер", "≥ 5"), ("Тип", "ring")]
+    rows = spark.createDataFrame([(d, i, "ring", k, v) for d in (1, 2, 3) for i, (k, v) in enumerate(cells)], "doc int, row_no int, name string, key string, value string")
+    codes = spark.createDataFrame([(1, 0, "01.02"), (2, 0, "01.02"), (3, 0, "77.01")], "doc int, pos int, code string")
+    cards = spark.createDataFrame([("b", 2, "01.02"), ("a", 3, "01.02"), ("c", 1, "01.02")], "card_id string, place int, code string")
+    own = spark.createDataFrame([(c, i, k, v) for c, size in (("b", "7"), ("a", "7"), ("c", "4")) for i, (k, v) in enumerate((("Размер", size), ("Тип", "ring")))], "card_id string, attr_idx int, key string, t string")
+    own = own.select("card_id", "attr_idx", "key", F.lit("declared").alias("attr_status"), E.value_of("str", F.col("t")).alias("attr"))
+    got = C.catalog_coverage(rows, codes, cards, own, spark.createDataFrame([("Тип",)], "key string"), "гарант").select("doc", "pos", "card_id", "score", "class").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 0, "b", 100, "ours"), (2, 0, "b", 100, "ours"), (3, 0, None, None, "not in catalog")]
+    (pairs,) = set(glob.glob(f"{folder}/card_pairs-*")) - seen
+    assert spark.read.parquet(pairs).count() == 2
