@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,26 +91,26 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (unsigned 32-bit, little-endian)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
-            rows = []
-            for lo in range(0, len(batch), _AT_ONCE):
-                part = batch.iloc[lo : lo + _AT_ONCE]
-                for doc, ids in zip(part["doc_id"].astype(object), encode(part["text"].tolist()), strict=True):
+            for lo in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(lo, _AT_ONCE)
+                rows = []
+                for doc, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
                     data = ids.tobytes() + np.array([end_id], "<u4").tobytes()
                     n, start, piece = len(data) // 4, 0, 0
                     while start < n:
                         length = (n - start - 1) % capacity + 1
                         own = data[4 * start : 4 * (start + length)]
-                        rows.append((None if pd.isna(doc) else doc, piece, start, length, zlib.crc32(own), own if with_ids else None))
+                        rows.append((doc, piece, start, length, zlib.crc32(own), own))
                         start, piece = start + length, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            yield out.astype({"doc_id": "Int64"})[list(names)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, buckets: int | None = None) -> DataFrame:

@@ -22,42 +22,40 @@ class Encoder:
     """Byte-level BPE ids of whole texts, equal to ``Tokenizer.encode``.
 
     A space always starts a new pre-token unless it stands between white space, so a text is cut
-    before its spaces. Pieces are remembered, and so are the pre-tokens that new pieces consist of;
-    only pre-tokens not met before reach the library. ``memory`` bounds the remembered pre-tokens and,
-    at seven tenths of it, the pieces; when one is full it is forgotten. Texts that cannot be cut safely are
-    encoded whole, as are those that hold the string of a special token. Such a string gives the token's
-    id, as in a plain ``encode``; with ``special`` off it is ordinary text.
+    before its spaces and pieces are remembered. Pieces not met before reach the library joined again, many at
+    once, and the ids are dealt out by the bytes that each stands for. ``memory`` bounds what is remembered: seven tenths
+    of it, half in ``known`` (pieces met lately) and half in ``tokens`` (those that filled ``known`` before). When
+    ``known`` is full it takes the place of ``tokens``, and pieces that are met again return, so frequent ones stay. Texts
+    that cannot be cut safely are encoded whole, as are those that hold the string of a special token. Such a string gives
+    the token's id, as in a plain ``encode``; with ``special`` off it is ordinary text.
     """
 
     def __init__(self, path: str, special: bool = True, memory: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes that an id stands for: a byte is a letter of the vocabulary
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)
         self.memory, self.longest, self.known, self.tokens = memory, longest, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _by_tokens(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces from those of their pre-tokens."""
-        parts = [self.split(p) for p in pieces]
-        missing = list(set().union(*parts).difference(self.tokens))
-        if len(self.tokens) + len(missing) > self.memory:
-            self.tokens.clear()
-            missing = list(set().union(*parts))
-        self.tokens.update(zip(missing, self._encode(missing), strict=True))
-        ids = self.tokens.__getitem__
-        out = [b"".join(map(ids, part)) for part in parts]
-        for t in missing:
-            if len(t) > self.longest:
-                del self.tokens[t]
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a space; none is empty or has white space at an end, so all can be cut apart again."""
+        out = []
+        for lo in range(0, len(pieces), 1000):
+            own = pieces[lo : lo + 1000]
+            data = self._encode([" " + " ".join(own)])[0]
+            through = np.cumsum(self.sizes[np.frombuffer(data, "<u4")])
+            ends = 4 * np.searchsorted(through, np.cumsum([len(p.encode()) + 1 for p in own]), side="right")
+            out += [data[at:end] for at, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -69,23 +67,28 @@ class Encoder:
             if text:
                 (whole if self.added(text) or _RUN.search(text) and _UNSAFE.search(text) else cut).append(i)
         # A piece without its space is a text's beginning; the others get their space back below.
-        pieces = {i: texts[i].split(" ") for i in cut}
-        wanted = set().union(*pieces.values()) if pieces else set()
-        fresh = list(wanted.difference(self.known))
-        if len(self.known) + len(fresh) > 0.7 * self.memory:
-            self.known.clear()
-            fresh = list(wanted)
-        both = self._by_tokens([" " + p for p in fresh] + [pieces[i][0] for i in cut])
-        new, begin = dict(zip(fresh, both, strict=False)), both[len(fresh) :]
-        self.known.update(new)
+        pieces = [texts[i].split(" ") for i in cut]
+        begin = [p.pop(0) for p in pieces]
+        wanted = set().union(*pieces)
+        fresh = wanted.difference(self.known)
+        if len(self.known) + len(fresh) > 0.35 * self.memory:
+            self.tokens, self.known, fresh = self.known, {}, wanted
+        again = self.tokens.keys() & fresh
+        self.known.update((p, self.tokens[p]) for p in again)
+        fresh -= again
+        inner = [p for p in fresh if p and p == p.strip()]
+        edge = list(fresh.difference(inner))
+        data = self._encode([" " + p for p in edge] + begin + [texts[i] for i in whole])
+        self.known.update(zip(inner, self._joined(inner), strict=True))
+        self.known.update(zip(edge, data, strict=False))
         ids = self.known.__getitem__
-        for i, first in zip(cut, begin, strict=True):
-            out[i] = first + b"".join(map(ids, pieces[i][1:]))
-        for p in new:
+        for i, first, rest in zip(cut, data[len(edge) :], pieces, strict=False):
+            out[i] = first + b"".join(map(ids, rest))
+        for p in fresh:
             if len(p) > self.longest:
                 del self.known[p]
-        for i, data in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = data
+        for i, own in zip(whole, data[len(edge) + len(begin) :], strict=True):
+            out[i] = own
         return [np.frombuffer(x, "<u4") for x in out]
 
 

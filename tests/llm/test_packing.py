@@ -46,6 +46,14 @@ def test_encoder_equals_the_library():
         assert all(len(p) <= own.longest for p in [*own.known, *own.tokens])
 
 
+def test_encoder_remembers_in_bounds():
+    own = Encoder(default_tokenizer(), memory=1000)
+    texts = [[" ".join(["a often", *(f"w{n}x{i}," for i in range(100))])] for n in range(20)]
+    for text in texts:
+        assert np.array_equal(own.encode(text)[0], plain_ids(text)[0])
+        assert len(own.known) + len(own.tokens) <= 700 and "often" in own.known
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_best_fit_decreasing(seed):
     rng = random.Random(seed)
