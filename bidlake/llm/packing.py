@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.functions.shared import saved
-from bidlake.llm.tokens import default_tokenizer, encoder, forget
+from bidlake.llm.tokens import MEMORY, default_tokenizer, encoder, forget
 
 _AT_ONCE = 128
 
@@ -88,11 +88,12 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "bin", "each", "offset"], dtype="int64")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool, memory: int = MEMORY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (unsigned 32-bit, little-endian)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        pa.default_memory_pool().release_unused()  # what batches of earlier stages took
+        encode = encoder(tokenizer, memory=memory).encode
         for batch in batches:
             for lo in range(0, batch.num_rows, _AT_ONCE):
                 part = batch.slice(lo, _AT_ONCE)
@@ -113,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, wi
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, buckets: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, buckets: int | None = None, memory: int = MEMORY) -> DataFrame:
     """Every piece of every document with its sequence_id and offset, and its ids unless ``with_ids`` is off.
 
     A document is its ids and ``end_id``; only one of more than ``capacity`` is cut, into full pieces
@@ -123,12 +124,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     what the lower buckets hold, so no length meets in one task.
 
     Null text is empty (one piece with only ``end_id``). Repeated rows are packed like others, null
-    doc_ids too. An empty table gives an empty result; other columns are not read.
+    doc_ids too. An empty table gives an empty result; other columns are not read. ``memory`` bounds the pieces of text
+    that a worker remembers and changes no result.
     """
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int").alias("bucket")
-    pieces = saved(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, with_ids).select("*", own, F.monotonically_increasing_id().alias("row")), "pieces")
+    pieces = saved(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, with_ids, memory).select("*", own, F.monotonically_increasing_id().alias("row")), "pieces")
     held = saved(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
     counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_fit_plan(counts, capacity)

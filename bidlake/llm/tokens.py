@@ -9,7 +9,9 @@ import numpy as np
 
 #: A space between, or after, other white space may belong to a longer token; the first pattern is a quick look.
 _RUN, _UNSAFE = re.compile(r" (?:\s|\Z)"), re.compile(r"\s (?:\s|\Z)")
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
+#: What an encoder's memory is bounded by unless said otherwise; see :class:`Encoder`.
+MEMORY = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -30,7 +32,7 @@ class Encoder:
     the token's id, as in a plain ``encode``; with ``special`` off it is ordinary text.
     """
 
-    def __init__(self, path: str, special: bool = True, memory: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, special: bool = True, memory: int = MEMORY, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,11 +94,11 @@ class Encoder:
         return [np.frombuffer(x, "<u4") for x in out]
 
 
-def encoder(path: str, special: bool = True) -> Encoder:
+def encoder(path: str, special: bool = True, memory: int = MEMORY) -> Encoder:
     """The worker's encoder of a tokenizer file."""
-    if (path, special) not in _ENCODERS:
-        _ENCODERS[path, special] = Encoder(path, special)
-    return _ENCODERS[path, special]
+    if (path, special, memory) not in _ENCODERS:
+        _ENCODERS[path, special, memory] = Encoder(path, special, memory)
+    return _ENCODERS[path, special, memory]
 
 
 def forget() -> None:

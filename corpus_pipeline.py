@@ -34,7 +34,7 @@ def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: every piece of every document with its token ids and its place in a sequence; an empty text is one end token."""
-    return packing.pack(docs)
+    return packing.pack(docs, memory=300_000)  # workers and executors hold memory of the stages before
 
 
 STAGES = [

@@ -54,6 +54,12 @@ def test_encoder_remembers_in_bounds():
         assert len(own.known) + len(own.tokens) <= 700 and "often" in own.known
 
 
+def test_memory_changes_no_result(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 70}x{i}" for j in range(90))) for i in range(12)], "doc_id long, text string")
+    small, large = (sorted(map(tuple, pack(docs, memory=m, capacity=64).collect())) for m in (60, 1_000_000))
+    assert small == large
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_best_fit_decreasing(seed):
     rng = random.Random(seed)
