@@ -15,6 +15,8 @@ from bidlake.functions.shared import saved
 from bidlake.llm.tokens import MEMORY, default_tokenizer, encoder, forget
 
 _AT_ONCE = 128
+#: Buckets of a length at most, so that the counts by length and bucket stay small whatever the number of partitions.
+_BUCKETS = 128
 
 
 class CapacityTree:
@@ -121,37 +123,42 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     after a first that may be shorter. The bins are those of best-fit decreasing over all pieces: the
     histogram of lengths (``capacity`` rows at most) settles the plan, and a piece finds its place by
     its rank among the pieces of its length. Ranks are counted within (length, bucket) and shifted by
-    what the lower buckets hold, so no length meets in one task.
+    what the lower buckets hold, so no length meets in one task. Those counts (``capacity`` times ``buckets`` rows at
+    most) go to every task with the plan: one shuffle and one sort place the pieces.
 
     Null text is empty (one piece with only ``end_id``). Repeated rows are packed like others, null
     doc_ids too. An empty table gives an empty result; other columns are not read. ``memory`` bounds the pieces of text
     that a worker remembers and changes no result.
     """
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int").alias("bucket")
     pieces = saved(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, with_ids, memory).select("*", own, F.monotonically_increasing_id().alias("row")), "pieces")
-    held = saved(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
-    counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = best_fit_plan(counts, capacity)
+    held = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    cells = held["length"].to_numpy() * buckets + held["bucket"].to_numpy()
+    cells, n = cells[by := np.argsort(cells)], held["n"].to_numpy()[by]
+    lengths, at, per = np.unique(cells // buckets, return_index=True, return_counts=True)
+    through = np.cumsum(n)
+    base = through - n
+    base -= np.repeat(base[at], per)  # what a length's lower buckets hold
+    counts = np.add.reduceat(n, at) if len(n) else n
+    plan = best_fit_plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), capacity)
     starts = (plan["length"].to_numpy() << 44) + plan["first"].to_numpy()
     order = np.argsort(starts)
     starts, columns = starts[order], {c: plan[c].to_numpy()[order] for c in ("first", "bin", "each", "offset")}
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    def place(length: pd.Series, bucket: pd.Series, nth: pd.Series) -> pd.DataFrame:
         forget()
-        length, rank = length.to_numpy(), rank.to_numpy()
+        length = length.to_numpy()
+        rank = base[np.searchsorted(cells, length * buckets + bucket.to_numpy())] + nth.to_numpy()
         at = np.searchsorted(starts, (length << 44) + rank, side="right") - 1
-        nth = rank - columns["first"][at]
+        beyond = rank - columns["first"][at]
         each = columns["each"][at]
-        return pd.DataFrame({"sequence_id": columns["bin"][at] + nth // each, "offset": columns["offset"][at] + nth % each * length})
+        return pd.DataFrame({"sequence_id": columns["bin"][at] + beyond // each, "offset": columns["offset"][at] + beyond % each * length})
 
-    lower = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("length", "bucket", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("base"))
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.drop("ids").withColumn("nth", nth).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
-    placed = ranked.withColumn("at", place("length", "rank"))
+    placed = pieces.drop("ids").withColumn("nth", nth).withColumn("at", place("length", "bucket", "nth"))
     if with_ids:  # they join their places once those are known
         placed = placed.join(pieces.select("row", "ids"), "row")
     return placed.select(*[c for c in pieces.columns if c not in ("bucket", "row")], "at.sequence_id", "at.offset")

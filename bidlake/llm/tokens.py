@@ -38,6 +38,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        self.tokenizer.model._resize_cache(0)  # pieces are remembered here; the library's own memory of 10,000 words costs a third of its time on new ones
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         vocab = self.tokenizer.get_vocab()

@@ -138,6 +138,19 @@ def test_packed_sequences_hold_the_ids(spark):
     assert sum(map(len, whole.values())) == sum(len(x) + 1 for x in plain_ids([t for _, t in rows], special=False))
 
 
+def test_places_need_one_shuffle_at_any_number_of_partitions(spark):
+    rows = [(i, f"text number {i} " * (i % 7)) for i in range(60)]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 500)
+    try:
+        packed = pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=32, with_ids=False)
+        plan = packed._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Window") == 1
+        check_packed(rows, packed, 32)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_nothing_to_pack(spark):
     none = spark.createDataFrame([], "doc_id long, text string, piece string")
     assert pack(none).count() == 0 and token_counts(none).count() == 0
