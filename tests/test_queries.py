@@ -64,3 +64,9 @@ def test_rest_imports_without_the_corpus_package(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_stored_positions_are_joined_by_sort_merge(spark):
+    from bidlake.plans import q_lots
+
+    assert "strategy=merge" in q_lots._positions(spark, DATA)._jdf.queryExecution().analyzed().toString()
