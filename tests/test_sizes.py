@@ -15,3 +15,25 @@ def test_list_fingerprints_equal_those_of_rows_and_shuffle_no_requirement(spark)
     whole = {(r[0], r[1]): r[2] for r in rows.select("purchase_id", "pos", E.fingerprint_of(B.wants())).collect()}
     assert whole == {(r[0], r[1]): r[2] for r in E.fingerprint(B.requirements(spark, DATA), ["purchase_id", "pos"]).collect()}
     assert "Generate" not in registry.queries()["agg17_fingerprint_classes"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_equal_products_take_part_once(spark, monkeypatch):
+    seen, plain = [], L._shared_tokens
+    monkeypatch.setattr(L, "_shared_tokens", lambda wanted, own, on: (seen.append(own.count()), plain(wanted, own, on))[1])
+    names = ["red bolt", "red nut", "blue bolt"]
+    products = spark.createDataFrame([(i, names[i % 3], ["01.02.03.004", "09.09.09.009"][i % 2]) for i in range(1, 301)], "product_id long, name string, code string")
+    lines = spark.createDataFrame([(1, 1, "01.02.03", "blue bolt"), (1, 2, "77.77.77", "nut"), (1, 3, "01.02.03", "none at all"), (2, 1, None, "bolt")], "purchase_id long, pos int, code string, name string")
+    tokens = lambda df: df.withColumn("tokens", L.long_tokens(F.col("name")))
+    got = L.pick_product(products.select("product_id", "code"), tokens(products), lines.drop("name"), tokens(lines))
+    assert sorted((r.purchase_id, r.pos, r.product_id, r.reason) for r in got.collect()) == [(1, 1, 2, "group"), (1, 2, 1, "name"), (1, 3, 2, "group"), (2, 1, 2, "name")]
+    assert max(seen) <= 6, seen
+
+
+def test_products_counted_at_their_best_position(spark):
+    products, lines = B.product_codes(spark, DATA), B.position_codes(spark, DATA).drop("product_id")
+    sets = L.code_sets(products, ["product_id"])
+    best = L.best_position(sets, lines).join(sets.withColumnRenamed("codes", "l_codes"), "l_codes").groupBy("purchase_id", "pos", "rank").count()
+    out = L.best_position_counts(products, lines)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, best.collect()))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "lineitem" not in plan  # positions were read once, before
