@@ -37,3 +37,10 @@ def test_products_counted_at_their_best_position(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, best.collect()))
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan and "lineitem" not in plan  # positions were read once, before
+
+
+def test_names_are_judged_once_a_pair(spark, monkeypatch):
+    seen, plain = [], E.evaluate
+    monkeypatch.setattr(E, "evaluate", lambda rows, *more: (seen.append(rows.count()), plain(rows, *more))[1])
+    assert registry.queries()["joi6_synonym_groups"](spark, DATA).count() > 625
+    assert seen and max(seen) <= 625
