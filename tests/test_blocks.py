@@ -103,3 +103,22 @@ def test_reset_positions_of_the_turns_against_a_loop(spark):
         want += [(doc, i, ",".join(g)) for i, g in enumerate(g for g in groups if len(g) >= 2)]
     got = registry.queries()["rnk7_reset_positions"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_pairs_are_chosen_and_linked_where_blocks_meet(spark, monkeypatch, block):
+    v = vectors(60)
+    v[50:] = v[50]  # copies
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(100, None), (103, [1.0, 0.0]), (104, [1.0, 0.0]), (105, [1.0, 0.0])], "item long, vector array<float>")
+    names = spark.createDataFrame([(i, ["Red ring", "ring, red", "bolt", "", None][i % 5]) for i in range(55)], "item long, name string")
+    known = spark.createDataFrame([(i, g) for i in range(0, 50, 3) for g in ("x" if i % 2 else "y", None, f"own {i}", "z" if i % 7 == 0 else f"{i}")], "item long, `group` string")
+    plain = terms.similar_pairs(rows, 0.4, block)
+    want = terms.new_name_pairs(plain, names, known)
+    told = lambda df: sorted((r.a, r.b, r.sim) for r in df.collect())
+    assert told(terms.new_similar_pairs(rows, names, known, 0.4, block)) == told(want) and want.count() < plain.count()
+    seen, whole = [], terms.mined_groups
+    monkeypatch.setattr(terms, "mined_groups", lambda pairs: (seen.append(pairs.count()), whole(pairs))[1])
+    groups = lambda df: sorted(map(tuple, df.collect()))
+    assert groups(terms.linked_groups(rows, 0.4, block=block)) == groups(whole(plain))
+    assert groups(terms.linked_groups(rows, 0.4, names, known, block)) == groups(whole(want))
+    assert seen[0] < plain.count() and (block < 60 or seen[0] <= 2 * 63)
