@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from bidlake.operators import characteristics as C
 from bidlake.operators import evaluate as E
 from bidlake.operators import lots as L
 from bidlake.plans import bindings as B
@@ -44,3 +45,22 @@ def test_names_are_judged_once_a_pair(spark, monkeypatch):
     monkeypatch.setattr(E, "evaluate", lambda rows, *more: (seen.append(rows.count()), plain(rows, *more))[1])
     assert registry.queries()["joi6_synonym_groups"](spark, DATA).count() > 625
     assert seen and max(seen) <= 625
+
+
+def test_equal_positions_are_judged_once_and_no_requirement_is_shuffled(spark, monkeypatch):
+    """Equal positions of many lots, some with nulls and some without characteristics: what is evaluated doesn't grow with the lots."""
+    seen, plain = [], E.evaluate
+    monkeypatch.setattr(E, "evaluate", lambda rows, *more: (seen.append(rows), plain(rows, *more))[1])
+    told = F.when(F.col("size").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("не менее "), "size"), F.lit("≤ 900")))
+    cells = F.transform(told, lambda x: C.characteristic(F.lit("Размер"), x, F.lit("мм"), F.lit("не может изменяться")))
+    kinds = [("red bolt", ["01.02.03"], 10), ("red bolt", ["01.02.03"], 90), ("red bolt", ["01.02.03"], None), (None, ["01.02.03.004"], 10), ("", None, 10)]
+    rows = [(lot, pos, *kind) for lot in range(200) for pos, kind in enumerate(kinds)]
+    positions = spark.createDataFrame(rows, "purchase_id long, pos int, name string, codes array<string>, size int")
+    products = spark.createDataFrame([(1, "red bolt", ["01.02.03.004-00000001"]), (2, "blue bolt", ["01.02.03"])], "product_id long, name string, codes array<string>")
+    card = lambda id, size: spark.range(1).select(F.lit(id).cast("long").alias("product_id"), F.lit("declared").alias("attr_status"), F.lit(0).alias("attr_idx"), F.lit("Размер").alias("key"), E.value_of("num", F.lit(size)).cast(E.VALUE).alias("attr"))
+    got = C.position_matches(positions, products, card(1, 50.0).union(card(2, 5.0)), cells)
+    want = [(1, "group", 100, "eligible", 2), (1, "group", 50, "disqualified", 2), (1, "group", 0, "eligible", 0), (1, "group", 100, "eligible", 2), (None, "none", 0, "disqualified", 0)]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == [(lot, pos, *w) for lot in range(200) for pos, w in enumerate(want)]
+    assert [rows.count() for rows in seen] == [7]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("Join") == 3
