@@ -64,3 +64,10 @@ def test_equal_positions_are_judged_once_and_no_requirement_is_shuffled(spark, m
     assert [rows.count() for rows in seen] == [7]
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Generate") == 1 and plan.count("Join") == 3
+
+
+def test_every_document_with_subject_terms_is_a_subject(spark):
+    queries = registry.queries()
+    subjects = {r.id for r in queries["rnk2_subject_terms"](spark, DATA).select("id").distinct().collect()}
+    met = {(r.id, r.listing) for r in queries["rnk3_subject_match"](spark, DATA).select("id", "listing").collect()}
+    assert {(i, i) for i in subjects} <= met and {i for i, _ in met} == subjects and any(i % 100 for i in subjects)
