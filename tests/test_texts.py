@@ -95,3 +95,11 @@ def test_fields_decode_the_entities_asked_for(spark):
     pattern = {"t": "<b>([^<]*)</b>"}
     assert X.extract_fields(page, pattern).first().t == 'a < "b" &lt;'
     assert X.extract_fields(page, pattern, entities=T.MARKUP).first().t == "a < &quot;b&quot; &lt;"
+
+
+def test_number_of_texts_with_and_without_one(spark):
+    cases = [("", None), (None, None), ("нет", None), ("-", None), ("-3,5 и 7", -3.5), ("до 1.2.3", 1.2), ("12мм", 12.0), ("5,", 5.0)]
+    number = T.number(F.col("s"))
+    rows = spark.createDataFrame(cases, "s string, want double").repartition(2).select("s", "want", number.alias("n"))
+    assert all(r.n == r.want for r in rows.collect())
+    assert "regexp_extract_all" in rows._jdf.queryExecution().optimizedPlan().toString()  # null, not an empty text, goes into the cast
